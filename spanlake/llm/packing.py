@@ -139,7 +139,7 @@ def place(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY
     counted = pieces.groupBy(F.col(length).cast("int").alias("l")).count().collect()  # at most ``capacity`` rows
     plan = plan_packing({r["l"]: r["count"] for r in counted}, capacity)
     salts = max(1, math.isqrt(sum(r["count"] for r in counted)))
-    salted = pieces.withColumns({"__l": F.col(length).cast("int"), "__salt": F.pmod(F.monotonically_increasing_id() * F.lit(2654435761) + F.spark_partition_id(), F.lit(salts))})
+    salted = pieces.withColumns({"__l": F.col(length).cast("int"), "__salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))})
     salted = stored(salted, "salted-pieces")
     cell = Window.partitionBy("__l", "__salt")
     before = Window.partitionBy("__l").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
