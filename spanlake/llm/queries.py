@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, langid, packing, urls, warc
+from . import decontaminate, fingerprint, html, jaccard, langid, packing, urls, warc
 from .common import stored, table
 
 #: The contract's rules.
@@ -55,6 +55,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +69,7 @@ QUERIES = {
         op6_url_filters,
         op8_ngram_jaccard_join,
         op9_document_fingerprints,
+        op10_html_extraction,
     )
 }
 
