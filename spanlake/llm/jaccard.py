@@ -202,3 +202,13 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     )
     alone = base.where("n = 0").select("doc_id", "row_hash", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
     return out.unionByName(alone)
+
+
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each component: the smallest doc_id's (nulls last), once if it repeats.
+
+    Rows without words are linked with nothing, so all of them stay, but for repeated rows of one id and text.
+    """
+    first = similarity_classes(docs, doc_id=doc_id, text=text).where("is_first").select(F.coalesce("doc_id", F.lit(0)).alias("__k"), F.col("doc_id").isNull().alias("__z"), F.col("row_hash").alias("__h"))
+    keyed = docs.withColumns({"__k": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "__z": F.col(doc_id).isNull(), "__h": row_hash(text)})
+    return keyed.join(first.dropDuplicates(), ["__k", "__z", "__h"], "left_semi").dropDuplicates(["__k", "__z", "__h"]).select(*docs.columns)

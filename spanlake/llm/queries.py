@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, jaccard, langid, packing, urls, warc
+from . import decontaminate, fingerprint, html, jaccard, langid, packing, suffixes, urls, warc
 from .common import stored, table
 
 #: The contract's rules.
@@ -47,6 +47,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -67,6 +71,7 @@ QUERIES = {
         op4_language_id,
         op5_warc,
         op6_url_filters,
+        op7_suffix_array_dedup,
         op8_ngram_jaccard_join,
         op9_document_fingerprints,
         op10_html_extraction,
