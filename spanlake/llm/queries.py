@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, jaccard, langid, packing, suffixes, urls, warc
+from . import decontaminate, fingerprint, html, jaccard, langid, packing, suffixes, tokenfiles, urls, warc
 from .common import stored, table
 
 #: The contract's rules.
@@ -33,6 +33,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.place(pieces)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -68,6 +72,7 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination,
         op2_best_fit_packing,
+        op3_token_files,
         op4_language_id,
         op5_warc,
         op6_url_filters,
