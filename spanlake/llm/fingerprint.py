@@ -35,8 +35,8 @@ def shingle_hashes(words: Column) -> Column:
 
 def kept_hashes(shingles: Column) -> Column:
     """The sketch: sorted distinct hashes below the threshold, and the smallest hash."""
-    least = F.array_min(shingles)
-    return F.array_sort(F.array_distinct(F.filter(shingles, lambda h: (h < (1 << HASH_BITS) // SCALE) | (h == least))))
+    least = F.when(F.size(shingles) > 0, F.array(F.array_min(shingles))).otherwise(F.array().cast("array<long>"))
+    return F.array_sort(F.array_union(F.filter(shingles, lambda h: h < (1 << HASH_BITS) // SCALE), least))
 
 
 def add_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
