@@ -17,7 +17,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -28,14 +28,22 @@ WORDS = 5
 #: Percent of the union that two linked sets share at least.
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
+#: One in SHARED of a set's shingles, at least, must be found with a partner among the first ones.
+SHARED = 10
 #: Sets beyond FAR of every pivot form a cell of their own.
 FAR = 3 * RADIUS
 PIVOTS = 8
+#: Sets of one region that are joined in one place; larger regions are joined block by block.
+REGION_LIMIT = 20_000
+#: Keys of 32 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Sets in all cells together, as a multiple of the sets, beyond which a region is not split.
+OVERLAP = 1.1
 
 
 def least_shared(n: np.ndarray | int) -> np.ndarray | int:
     """t: how many shingles of their prefixes two linked sets share at least, if the smaller has ``n`` shingles."""
-    return np.maximum(1, n // 20)
+    return np.maximum(1, n // SHARED)
 
 
 def prefix_length(n: int) -> int:
@@ -100,6 +108,13 @@ class Sets:
                 self.parent[r] = mine
         return 1 - both / union
 
+    def join_all(self) -> None:
+        """Join the sets band by band: linked sets' sizes differ by a quarter of the smaller at most."""
+        bands = np.floor(np.log(self.sizes) / np.log(100 / PERCENT) + 1e-9).astype(int)
+        for b in np.unique(bands).tolist():
+            # Rounding may move a size across a bound, so the band before the last one is taken too.
+            self.join(np.flatnonzero((bands <= b) & (bands >= b - 2)))
+
     def join(self, members: np.ndarray) -> None:
         """Find all links among ``members``, but for those within what is one component already."""
         todo = [members]
@@ -121,13 +136,17 @@ class Sets:
             d = np.array(distances)
             nearest, least, slack = d.argmin(axis=0), d.min(axis=0), 1e-9
             far = least > FAR
+            cells = [least > FAR - RADIUS - slack] if far.any() else []
             for j in range(len(d)):
                 core = (nearest == j) & ~far
                 if core.any():
                     window = (d[j] <= d[j][core].max() + RADIUS + slack) & ((d[j] <= least + 2 * RADIUS + slack) | far)
-                    todo.append(left[core | window])
-            if far.any():
-                todo.append(left[least > FAR - RADIUS - slack])
+                    cells.append(core | window)
+            # Where windows cover each other, cells would repeat work; the sets that are left go on as one cell.
+            if sum(np.count_nonzero(c) for c in cells) > OVERLAP * len(left):
+                todo.append(left)
+            else:
+                todo += [left[c] for c in cells]
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         roots = np.array([self.root(i) for i in range(len(self.sets))], np.int64)
@@ -135,29 +154,61 @@ class Sets:
         return self.keys[linked], self.keys[roots[linked]]
 
 
-def region_links(regions: DataFrame) -> DataFrame:
-    """``a, b``: a spanning forest of the links within each region of ``region, set_key, shingles``."""
+def unit_links(units: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of the links within each unit of ``unit, set_key, label, shingles``.
+
+    Sets of one label (null: none) are known to be connected.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, keys, sets = None, [], []
+        name, keys, sets, labels = None, [], [], []
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(keys) > 1:
                 group = Sets(np.array(keys, np.int64), sets)
-                group.join(np.arange(len(keys)))
+                first: dict[int, int] = {}
+                for i, label in enumerate(labels):
+                    if label is not None:
+                        group.parent[i] = first.setdefault(label, i)
+                group.join_all()
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in group.forest()], names=["a", "b"])
 
         for batch in batches:
-            for region, key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if region != name:
+            for unit, key, label, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if unit != name:
                     yield from links()
-                    name, keys, sets = region, [], []
+                    name, keys, sets, labels = unit, [], [], []
                 if not keys or keys[-1] != key:
                     keys.append(key)
+                    labels.append(label)
                     sets.append(np.frombuffer(shingles.as_buffer(), np.uint64))
         yield from links()
 
-    return regions.repartition("region").sortWithinPartitions("region", "set_key").mapInArrow(scan, "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "set_key").mapInArrow(scan, "a long, b long")
+
+
+def region_links(members: DataFrame, sets: DataFrame, region_limit: int) -> DataFrame:
+    """All links that join components within regions of ``region, set_key``.
+
+    A region of more than ``region_limit`` sets is dealt to blocks. Each block is joined by itself; where that leaves
+    several components, every two blocks are joined too, with what is connected already taken as known.
+    """
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / region_limit).cast("int")
+    dealt = members.join(sizes, "region").select("region", "set_key", blocks.alias("blocks"), F.pmod(F.xxhash64("set_key"), blocks).cast("int").alias("block"))
+    no_label = F.lit(None).cast("long").alias("label")
+    alone = stored(unit_links(dealt.join(sets, "set_key").select(F.concat_ws("/", "region", "block").alias("unit"), "set_key", no_label, "shingles")), "set-links")
+    large = dealt.where("blocks > 1")
+    if not large.head(1):
+        return alone
+    roots = connected_components(alone).withColumnRenamed("node", "set_key")
+    known = large.join(roots, "set_key", "left").withColumn("label", F.coalesce("root", "set_key"))
+    parted = known.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
+    pairs = known.join(parted, "region").select("region", "set_key", "label", "block", other.alias("other"))
+    unit = F.concat_ws("/", "region", F.least("block", "other"), F.greatest("block", "other")).alias("unit")
+    across = unit_links(pairs.select(unit, "set_key", "label").join(sets, "set_key").select("unit", "set_key", "label", "shingles"))
+    return alone.unionByName(stored(across, "set-links"))
 
 
 def full_sets(rows: DataFrame) -> DataFrame:
@@ -171,7 +222,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
     return rows.select("set_key", "text").mapInArrow(scan, "set_key long, shingles binary")
 
 
-def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", region_limit: int = REGION_LIMIT) -> DataFrame:
     """``doc_id, row_hash, n_shingles, component_id, is_first`` of every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, null only if all of them are null. A row without words,
@@ -181,19 +232,21 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     base = stored(document_sets(docs, doc_id, text), "shingle-sets")
     rows = base.where("n > 0").select(F.explode("prefix").alias("shingle"), "set_key")
-    shared = rows.groupBy("shingle").agg(F.min("set_key").alias("region"), F.max("set_key").alias("other")).where("region < other").select("shingle", "region")
-    held = rows.join(shared, "shingle").groupBy("set_key", "region").agg(F.count("*").alias("copies"))
-    # A set's rows count once for each of its documents.
-    sizes = base.where("n > 0").groupBy("set_key").agg(F.max("n").alias("n"), F.count("*").alias("documents"), F.min(F.struct("doc_id", "row_hash")).alias("row"))
-    per_set = held.groupBy("set_key").agg(F.sum("copies").alias("copies"), F.collect_list("region").alias("regions"))
-    smaller = F.ceil(F.col("n") * PERCENT / 100)
-    need = F.greatest(F.lit(1), F.floor(smaller / 20))
-    alive = stored(per_set.join(sizes, "set_key").where(F.col("copies") / F.col("documents") >= need).select("set_key", "row", "regions"), "sets-with-partners")
+    shared = rows.groupBy("shingle").agg(F.min("set_key").alias("region"), F.max("set_key").alias("other"), F.count("*").alias("held")).where("region < other").select("shingle", "region", "held")
+    held = rows.join(shared, "shingle").distinct()
+    sizes = base.where("n > 0").groupBy("set_key").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "row_hash")).alias("row"))
+    per_set = Window.partitionBy("set_key")
+    # In the order of all shingles from rare to frequent, partners meet before the last need - 1 shared ones.
+    ranked = held.withColumns({"rank": F.row_number().over(per_set.orderBy("held", "shingle")), "shared": F.count("*").over(per_set)}).join(sizes, "set_key")
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARED))
+    alive = stored(ranked.where(F.col("rank") <= F.col("shared") - need + 1).groupBy("set_key").agg(F.first("row").alias("row"), F.collect_set("region").alias("regions")), "sets-with-partners")
     wanted = alive.select("set_key", F.coalesce("row.doc_id", F.lit(0)).alias("k"), F.col("row.doc_id").isNull().alias("z"), F.col("row.row_hash").alias("row_hash"))
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k"), F.col(doc_id).isNull().alias("z"), row_hash(text).alias("row_hash"), F.col(text).alias("text"))
-    sets = full_sets(texts.join(wanted, ["k", "z", "row_hash"]))
-    regions = alive.select("set_key", F.explode("regions").alias("region")).join(sets, "set_key").select("region", "set_key", "shingles")
-    roots = connected_components(stored(region_links(regions), "set-links"))
+    if alive.count() <= BROADCAST_ROWS:  # so many keys are known to be small; texts then stay where they are
+        wanted = F.broadcast(wanted)
+    sets = stored(full_sets(texts.join(wanted, ["k", "z", "row_hash"])).dropDuplicates(["set_key"]), "full-sets")
+    members = alive.select("set_key", F.explode("regions").alias("region"))
+    roots = connected_components(region_links(members, sets, region_limit))
     known = base.where("n > 0").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("doc_id", "row_hash", "n", F.coalesce("root", "set_key").alias("root"))
     first = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("row_hash"))).alias("first"))
     out = known.join(first, "root").select(
