@@ -7,8 +7,9 @@ afterwards. A text that holds a special token's string is encoded in one piece i
 
 from __future__ import annotations
 
+import gc
 import os
-from collections import ChainMap
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,24 +21,30 @@ MEMO_CHUNKS = 400_000
 #: Characters of text whose chunks are encoded together.
 GROUP_CHARS = 2_000_000
 
+#: Chunks of these characters fall apart into letters, single digits and punctuation whatever stands around them,
+#: and their letters have simple lower case. An apostrophe may begin a contraction, so it is not among them.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+SIMPLE = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+ONE = re.compile(f"[{_LETTERS}]+")
+PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+
 
 class WholeTexts:
-    """Encodes whole texts; ``kind`` is "word" or "byte" and says where a text may be cut."""
+    """Encodes whole texts; a chunk's ids are kept as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
-        if kind == "word":
-            self.cut = lambda text: text.replace("\n", " ").split(" ")
-        else:
-            import public_tokenizers
-            import regex
 
-            self.cut = regex.compile(public_tokenizers.PATTERN).findall
+    def cut(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def encode_new(self, chunks: list[str]) -> dict[str, bytes]:
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True)}
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text in turn; null counts as empty. Chunks new to the memo are encoded together."""
@@ -52,15 +59,14 @@ class WholeTexts:
         yield from self.encode_group(group)
 
     def encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        memo = self.memo
-        cuts = [None if any(s in text for s in self.specials) else self.cut(text) for text in texts]
-        new = list(set(chain.from_iterable(c for c in cuts if c)).difference(memo))
-        found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(memo) < MEMO_CHUNKS:  # frequent chunks come early
-            memo.update(found)
-            found = memo
-        else:
-            found = ChainMap(found, memo)
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, none in a cycle
+        try:
+            cuts = [None if any(s in text for s in self.specials) else self.cut(text) for text in texts]
+            found = looked_up(self.memo, set(chain.from_iterable(c for c in cuts if c)), self.encode_new)
+        finally:
+            if collects:
+                gc.enable()
         for text, chunks in zip(texts, cuts, strict=True):
             if chunks is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -68,6 +74,67 @@ class WholeTexts:
                 yield np.frombuffer(b"".join([found[c] for c in chunks]), "<u4")
 
 
+def looked_up(memo: dict[str, bytes], chunks: set[str], encode_new) -> dict[str, bytes]:
+    """A mapping that has all ``chunks``; the memo takes up new ones while it has room (frequent ones come early)."""
+    new = chunks.difference(memo)
+    found = encode_new(list(new))
+    if len(memo) >= MEMO_CHUNKS:
+        found.update((c, memo[c]) for c in chunks - new)
+        return found
+    memo.update(found)
+    return memo
+
+
+class ByteTexts(WholeTexts):
+    def __init__(self, path: str):
+        super().__init__(path)
+        import public_tokenizers
+        import regex
+
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+
+
+class WordTexts(WholeTexts):
+    """For the vocabulary that drops white space and marks word ends."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def cut(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
+
+    def encode_new(self, chunks: list[str]) -> dict[str, bytes]:
+        words = {c: c.lower() for c in chunks if ONE.fullmatch(c)}
+        rest = [c for c in chunks if c not in words]
+        several = {c: PARTS.findall(c.lower()) for c in rest if SIMPLE.fullmatch(c)}
+        parts = looked_up(self.parts, set(words.values()).union(chain.from_iterable(several.values())), self.encode_parts)
+        found = {c: parts[w] for c, w in words.items()}
+        found.update((c, b"".join([parts[x] for x in p])) for c, p in several.items())
+        found.update(super().encode_new([c for c in rest if c not in several]))
+        return found
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Encode many words as one text and split the ids at the word ends."""
+        found = {}
+        for at in range(0, len(parts), 1000):
+            group = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(group):
+                found |= super().encode_new(group)
+                continue
+            data, start = ids.tobytes(), 0
+            for part, end in zip(group, ends.tolist(), strict=True):
+                found[part] = data[start:end]
+                start = end
+        return found
+
+
 @lru_cache(maxsize=4)
 def whole_texts(path: str, kind: str) -> WholeTexts:
-    return WholeTexts(path, kind)
+    """``kind`` is "word" or "byte" and says where the vocabulary lets a text be cut."""
+    return (WordTexts if kind == "word" else ByteTexts)(path)
