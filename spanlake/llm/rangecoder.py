@@ -21,7 +21,7 @@ HEADER = struct.Struct("<4sIII")
 #: Ids in one block.
 BLOCK = 8192
 #: Blocks coded in lockstep; with the vocabulary it bounds memory.
-LANES = 512
+LANES = 384
 #: Positions in a block at which the order-0 frequencies are renewed.
 RENEW = (256, 1024, 4096)
 #: Bits of the probabilities, slots of a context table, longest run of hits that counts.
@@ -49,10 +49,10 @@ class Model:
         self.before = np.zeros(lanes, np.int64)
         self.at = 0
         self.width = vocabulary + 1
-        self.sums = np.broadcast_to(np.arange(self.width, dtype=np.uint32) * np.uint32((1 << ORDER0_BITS) // vocabulary), (lanes, self.width))
-        self.total = np.uint64((1 << ORDER0_BITS) // vocabulary * vocabulary)
-        self.totals = np.full(lanes, self.total, np.uint64)
-        self.flat, self.row0 = self.sums.reshape(-1) if self.sums.flags.c_contiguous else self.sums[0].copy(), np.zeros(lanes, np.int64)
+        # Until the first renewal every id is as likely, and one row serves all lanes.
+        self.table: np.ndarray | None = None
+        self.flat, self.row0 = np.arange(self.width, dtype=np.uint32) * np.uint32((1 << ORDER0_BITS) // vocabulary), np.zeros(lanes, np.int64)
+        self.totals = np.full(lanes, self.flat[-1], np.uint64)
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """Guesses of order 2 and 1 and the ends of their shares in [0, 2**BITS); order 0 has the rest."""
@@ -81,11 +81,14 @@ class Model:
     def renew(self, seen: np.ndarray) -> None:
         """Renew order 0 from the ids so far, a row for each lane."""
         n = seen.shape[1]
-        counts = np.ones((self.n, self.vocabulary), np.uint32)
+        if self.table is None:
+            self.table = np.empty((self.n, self.width), np.uint32)
+        sums = self.table
+        sums[:, 0], sums[:, 1:] = 0, 1
         weight = max(1, (1 << ORDER0_BITS) // n)
-        np.add.at(counts.reshape(-1), (self.lane[:, None] * self.vocabulary + seen).ravel(), np.uint32(weight))
-        sums = np.zeros((self.n, self.width), np.uint32)
-        np.cumsum(counts, axis=1, out=sums[:, 1:])
+        np.add.at(sums.reshape(-1), (self.lane[:, None] * self.width + 1 + seen).ravel(), np.uint32(weight))
+        for k in range(self.n):  # lane by lane, in place
+            np.cumsum(sums[k], out=sums[k])
         self.flat, self.row0 = sums.reshape(-1), self.lane * self.width
         self.totals = sums[:, -1].astype(np.uint64)
 
