@@ -1,0 +1,394 @@
+"""The training-data operators against brute force, on small tables with nulls, ties, copies and odd texts."""
+
+import hashlib
+import random
+import string
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from spanlake.llm import decontaminate, fingerprint, html, jaccard, langid, packing, rangecoder, suffixes, tokenfiles, tokens, urls, warc
+from spanlake.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def some_docs(seed=0, n=60):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(200)]
+    texts = [None, "", " \n ", "word", "Word", "a b c d", "@@@ 12", "x" * 3000]
+    while len(texts) < n:
+        text = [r.choice(words) for _ in range(r.randint(1, 120))]
+        texts.append(" ".join(text))
+        if r.random() < 0.5:
+            copy = list(text)
+            copy[r.randrange(len(copy))] = "changed"
+            texts += [" ".join(copy).upper() if r.random() < 0.3 else " ".join(copy)] * r.randint(1, 2)
+    rows = [(i, t, r.choice(["en", "de", None]), "s", len(t or "")) for i, t in enumerate(texts)]
+    return rows + [rows[9], rows[10], (None, texts[12], "en", "s", 0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(some_docs(), DOCS).repartition(3)
+
+
+def edit_distance_in(pattern, text):
+    best = list(range(len(pattern) + 1))
+    least = best[-1]
+    for word in text:
+        row = [0]
+        for i, p in enumerate(pattern):
+            row.append(min(best[i] + (p != word), best[i + 1] + 1, row[-1] + 1))
+        best, least = row, min(least, row[-1])
+    return least
+
+
+def test_decontamination(spark):
+    r = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 4, 10, 30, 90])))) for i in range(12)] + [(12, None), (13, "?!"), (14, "w1 w2")]
+    rows = []
+    for i in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        if i % 2:
+            leak = items[r.randrange(12)][1].split()
+            for _ in range(r.randint(0, 4)):
+                leak[r.randrange(len(leak))] = "other"
+            at = r.randint(0, len(words))
+            words[at:at] = leak
+        rows.append((i, ", ".join(words).upper() if i % 3 else " ".join(words)))
+    rows += [(60, None), (61, ""), (None, items[2][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            pattern = decontaminate.words_of(item or "")
+            if pattern:
+                distance = edit_distance_in(pattern, decontaminate.words_of(text or ""))
+                if distance <= decontaminate.budget(len(pattern), decontaminate.ERROR_RATE) and text:
+                    want[d, i] = distance
+    for block_words in (decontaminate.BLOCK_WORDS, 20):
+        got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.find_leaks(docs, bench, block_words=block_words).collect()}
+        assert got == want
+    kept = {x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in want}
+    assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
+
+
+def test_packing_plan_is_best_fit_decreasing():
+    import bisect
+
+    for seed in range(40):
+        r = random.Random(seed)
+        capacity = r.choice([7, 40, 4096])
+        lengths = [min(capacity, max(1, int(r.expovariate(3 / capacity)))) for _ in range(r.choice([0, 1, 9, 400]))]
+        rooms = []
+        for n in sorted(lengths, reverse=True):
+            i = bisect.bisect_left(rooms, n)
+            bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - n)
+        used = {}
+        for length, lo, hi, per, first, offset in packing.plan_packing(Counter(lengths), capacity):
+            for k in range(hi - lo):
+                used.setdefault(first + k // per, []).append((offset + k % per * length, length))
+        assert sorted(capacity - sum(n for _, n in v) for v in used.values()) == rooms
+        for v in used.values():
+            assert all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:], strict=False))
+
+
+def test_packing(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.tokenized_pieces(docs, tokenizer=path, capacity=64).cache()
+    tokenizer = Tokenizer.from_file(path)
+    want = Counter()
+    for i, text, *_ in some_docs():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for n, at in enumerate(range(0, len(ids), 64)):
+            want[i, n, at, np.array(ids[at : at + 64], "<u4").tobytes()] += 1
+    assert Counter((p.doc_id, p.piece, p.start, bytes(p.ids)) for p in pieces.collect()) == want
+    placed = packing.place(pieces, capacity=64).collect()
+    assert len(placed) == sum(want.values())
+    by = {}
+    for p in placed:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for v in by.values():
+        assert sum(n for _, n in v) <= 64 and [a for a, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))]
+    whole = packing.sequences(packing.place(pieces, capacity=64)).collect()
+    assert sum(len(w.ids) for w in whole) == 4 * sum(p.length for p in placed)
+    assert packing.place(pieces.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind,name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_token_memo_equals_the_tokenizer(kind, name):
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    r = random.Random(2)
+    texts = ["", " ", "a　b\x1c c\r\n\r\n  d", "İstanbul ΑΣ Σ. é é!x", "  \n\n x\ty \n", "it's we'LL don't 1234 ½ <|endoftext|> a", "Ab1!2?? ß× µm ÿ¿ a_b x's''s", None]
+    texts += ["".join(r.choice(string.printable + "éßİσ́ ") for _ in range(80)) for _ in range(200)]
+    for text, ids in zip(texts, tokens.whole_texts(path, kind).encode(texts), strict=True):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("ids", [[], [7], [0, 50256, 0], [3] * 9000, list(range(300)) * 40, np.random.default_rng(1).integers(0, 50257, 20000).tolist(), (np.random.default_rng(2).zipf(1.3, 20000) % 50257).tolist()])
+def test_range_coder_round_trip(ids):
+    blocks = rangecoder.encode_blocks(np.array(ids, np.int64), 50257, block=4096)
+    assert rangecoder.decode_blocks(blocks, 50257).tolist() == ids
+    for k in range(len(blocks)):  # blocks stand alone
+        assert rangecoder.decode_blocks(blocks[k : k + 1], 50257).tolist() == ids[4096 * k : 4096 * (k + 1)]
+    if len(ids) > 1000:
+        damaged = bytearray(blocks[0])
+        damaged[40] ^= 1
+        with pytest.raises(ValueError):
+            rangecoder.decode_blocks([bytes(damaged)], 50257)
+
+
+def test_token_files(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = sorted(map(tuple, tokenfiles.round_trip(docs, tokenizer=path).collect()), key=lambda x: x[1])
+    assert [x[0] for x in got] == sorted((d[0] for d in some_docs()), key=lambda k: (k is not None, k))
+    at = 0
+    texts = {}
+    for i, text, *_ in some_docs():
+        texts.setdefault(i, []).append(text)
+    for i, start, n, crc in got:
+        ids = [*tokenizer.encode(texts[i].pop() or "", add_special_tokens=False).ids, 0]
+        assert (start, n, crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += n
+    assert tokenfiles.round_trip(docs.where("false"), tokenizer=path).count() == 0
+
+
+def test_language_id(spark):
+    r = random.Random(4)
+    parts = {"aa": ["th", "er", "ing", "the"], "bb": ["sch", "ung", "der", "ein"], "cc": ["ción", "os", "mente", "que"]}
+    make = lambda x, n: " ".join("".join(r.choice(parts[x]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, make(x, r.randint(5, 60)), x) for i, x in enumerate(r.choice(list(parts)) for _ in range(400))]
+    rows += [(400, None, "aa"), (401, "", "aa"), (402, "12 !? 34", "aa"), (403, "sching", None), (None, make("bb", 30), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("taken"))
+    model = langid.fit(df.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(df, model).collect()
+    assert len(out) == len(rows) and all(0 <= x.score <= 1 for x in out)
+    by = {x.doc_id: x.lang_pred for x in out}
+    assert [by[i] for i in (400, 401, 402)] == ["und"] * 3 and by[403] != "und"
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(by[i] == rows[i][2] for i in held) >= 0.97 * len(held)
+    grams = langid.ngram_hashes(langid.letter_codes("thing"))
+    assert all(model.languages_of(grams) >> np.uint64(0) & np.uint64(1))
+    empty = langid.fit(df.where("false"))
+    assert {x.lang_pred for x in langid.identify(df, empty).collect()} == {"und"}
+
+
+def test_warc(spark):
+    big, small = "é" * 700, "x" * 999
+    rows = [(1, "http://a/", big), (5, "http://b/\r\nX: 1%", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "n", None), (7, "n", ""), (5, "http://b/", big), (None, "z", big), (8, "y", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    path, records = warc.archive(pages)
+    got = records.collect()
+    assert len(got) == len(rows)
+    assert Counter((x.page_id, x.payload_bytes, x.payload_digest) for x in got) == Counter((p, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for p, _, h in rows)
+    assert sorted((str(x.page_id), x.refers_to) for x in got if x.record_type == "revisit") == [("1", 5), ("3", 5), ("5", 5), ("None", 5)]
+    stored = spark.read.parquet(f"{path}/payloads")
+    assert stored.count() == 4
+    whole = warc.read_records(spark, path).collect()
+    for w in whole:
+        head, _, block = bytes(w.record).partition(b"\r\n\r\n")
+        n = int(head.split(b"\r\nContent-Length: ")[1].split(b"\r\n")[0])
+        assert head.startswith(b"WARC/1.1\r\n") and block[n:] == b"\r\n\r\n" and b"\nX: 1" not in head
+    assert warc.archive(pages.where("false"))[1].count() == 0
+
+
+def fits(rule, host, path):
+    return (host == rule.host or host.endswith("." + rule.host)) and path.startswith(rule.path)
+
+
+def test_url_filters(spark):
+    r = random.Random(5)
+    hosts = ["com", "Example.com", "a.example.com", "notexample.com", "x.y.net", "example.net", "", "org", "q.org.", "1.2.3.4:80"]
+    urls_ = [f"{r.choice(['http://', 'https://', '', '://'])}{r.choice(hosts)}{r.choice(['', '/', '/en/', '/en/7', '/en/71?x', '/de/8#a/en/', '?/en/', '/es/../en/', '/e'])}" for _ in range(300)] + [None, "", "mailto:x"]
+    rules = [urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow"), urls.Rule("net", "/de/", "block"), urls.Rule("example.net", "/de/8", "block"), urls.Rule("org", "", "block")]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls_)], "page_id long, url string, host string")
+    got = {x.page_id: x for x in urls.filter_urls(pages, rules).collect()}
+    assert len(got) == len(urls_)
+    for i, u in enumerate(urls_):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = rest.split("/")[0].split("?")[0].split("#")[0]
+        path = rest[len(host) :].split("?")[0].split("#")[0]
+        host = "".join(c.lower() if c in string.ascii_uppercase else c for c in host)
+        found = max((x for x in rules if host and fits(x, host, path)), key=lambda x: (len(x.host + x.path), len(x.host)), default=None)
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, found and found.host + found.path, found.verdict if found else "allow"), u
+    assert urls.filter_urls(pages, []).where("verdict <> 'allow'").count() == 0
+
+
+def test_bloom_cascade_is_exact(spark):
+    universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("hash(key) % 7 = 0")
+    cascade = urls.Cascade(universe, listed)
+    assert len(cascade.levels) >= 2
+    wrong = universe.withColumn("in", cascade.contains(F.col("key"))).where("in <> (hash(key) % 7 = 0)")
+    assert wrong.count() == 0
+
+
+def test_deep_shallow_sorts():
+    for seed in range(60):
+        r = random.Random(seed)
+        texts = ["".join(r.choice("ab") for _ in range(r.choice([0, 5, 20, 60]))).encode() for _ in range(r.choice([1, 2, 5, 50]))]
+        texts += [r.choice(texts)[: r.randint(0, 70)] + b"zz" for _ in range(5)]
+        order = suffixes.deep_shallow(texts, 0, r.choice([0, 8, 32]))
+        assert [texts[i] for i, _ in order] == sorted(texts)
+        assert all(suffixes.common_prefix(texts[a], texts[b]) == n for (a, _), (b, n) in zip(order, order[1:], strict=False))
+
+
+@pytest.mark.parametrize("limit", [20_000, 3])
+def test_suffix_dedup(spark, limit):
+    r = random.Random(6)
+    make = lambda n: "".join(r.choice("ab é") for _ in range(n))
+    shared = [make(n) for n in (20, 50, 90, 41, 39)]
+    texts = ["".join(r.choice([make(r.randint(0, 60)), r.choice(shared), r.choice(shared)[r.randint(0, 5) :]]) for _ in range(r.randint(0, 5))) for _ in range(90)]
+    texts += ["a" * 300, "a" * 100 + "b" + "a" * 100, None, "", "ab" * 100]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ranges", F.lit(1)).repartition(3)
+    data = [(t or "").encode() for _, t in rows]
+    count = Counter(t[i : i + 40] for t in data for i in range(len(t) - 39))
+    want = Counter()
+    for (key, _), t in zip(rows, data, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 39):
+            if count[t[i : i + 40]] > 1:
+                gone[i : i + 40] = b"\1" * 40
+        kept = bytes(b for b, x in zip(t, gone, strict=True) if not x)
+        want[key, len(t), sum(gone), sum(gone[i] and not (i and gone[i - 1]) for i in range(len(gone))), hashlib.sha256(kept).hexdigest()] += 1
+    got = suffixes.remove_repeats(df, span=40, gram=15, group_limit=limit, digest=True)
+    assert Counter(map(tuple, got.collect())) == want
+    plain = suffixes.remove_repeats(df, span=40, gram=15, group_limit=limit)
+    assert plain.columns == df.columns and plain.count() == len(rows) and plain.where("doc_id = 92 and text is null").count() == 1
+
+
+def components_by_force(rows):
+    sets = []
+    for _, text, *_ in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    out = {}
+    for i, x in enumerate(label):
+        out.setdefault(x, []).append(rows[i][0])
+    least = {x: min((k for k in v if k is not None), default=None) for x, v in out.items()}
+    return Counter((rows[i][0], len(sets[i]), least[label[i]]) for i in range(len(rows)))
+
+
+def test_jaccard_join(spark, docs):
+    got = jaccard.similarity_classes(docs)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == components_by_force(some_docs())
+    kept = jaccard.keep_first(docs).collect()
+    classes = {x.component_id for x in got.collect() if x.component_id is not None}
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(classes)
+    assert jaccard.similarity_classes(docs.where("false")).count() == 0
+
+
+def test_jaccard_shuffles_keys_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    got = jaccard.similarity_classes(docs).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == components_by_force(some_docs())
+
+
+@pytest.mark.parametrize("limit", [1, 2])
+def test_large_regions_are_joined_block_by_block(spark, docs, limit):
+    got = jaccard.similarity_classes(docs, region_limit=limit).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == components_by_force(some_docs())
+
+
+def test_regions_join_exactly():
+    for seed in range(8):
+        r = np.random.default_rng(seed)
+        sets = []
+        for _ in range(12):
+            base = np.unique(r.integers(0, 1 << 40, r.integers(5, 60)).astype(np.uint64))
+            for _ in range(r.integers(1, 14)):
+                change = r.random(len(base)) < r.choice([0.02, 0.1, 0.3])
+                sets.append(np.unique(np.where(change, r.integers(0, 1 << 40, len(base)).astype(np.uint64), base)))
+        group = jaccard.Sets(np.arange(len(sets)), sets)
+        group.join_all()
+        label = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = label[i], label[j]
+                    label = [b if x == a else x for x in label]
+        roots = [group.root(i) for i in range(len(sets))]
+        assert len(set(roots)) == len(set(label)) == len(set(zip(roots, label, strict=True)))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 199)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 199: 199, 200: 199}
+
+
+def test_fingerprints(spark, docs, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    rows = some_docs()
+    got = fingerprint.edited_likeness(docs).collect()
+    assert len(got) == len(rows)
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, set()).add(t or "")
+    prints = {}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+    for k, row in enumerate(order):
+        text, after = row[1] or "", order[(k + 1) % len(order)][1] or ""
+        n, cut = len(text), len(text) // 4
+        edited = hashlib.sha256((text[: n - cut] + after[:cut]).encode()).hexdigest()
+        assert any(x.doc_id == row[0] and x.n_chars == n and x.edited_sha256 == edited for x in got)
+    for x in got:
+        assert 0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1
+        for t in texts[x.doc_id]:
+            prints.setdefault(t, set()).add(x.fingerprint)
+    assert all(len(v) == 1 for t, v in prints.items())
+    assert fingerprint.edited_likeness(docs.where("false")).count() == 0
+    one = fingerprint.edited_likeness(docs.where("doc_id = 20")).first()
+    assert one.near_next == 1.0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header><a href="/">Site</a></header>
+<nav><ul><li><a>Home</a><li>About</ul></nav><div class="cookie-notice">Cookies!</div><article><h1>{title}</h1><p>One&nbsp;<b>two</b><br>three &lt;x&gt;<p>{text}</p>
+<aside>Related</aside><div class="ad">Buy</div><section id="comments"><p>First!</p></section></article><form><p>Name</p></form><footer>&copy;</footer></body></html>"""
+
+
+def test_html_extraction(spark):
+    rows = [(i, f"https://h{i % 2}.example/{i}", PAGE.format(title=f"Title {i}", text=f"Text\n  number {i}")) for i in range(12)]
+    rows += [(20, None, "plain &amp text"), (21, "https://h0.example/x", None), (22, "https://h0.example/y", ""), (23, "https://h1.example/z", "<p>a<p>b<ul><li>c<li>d</ul><table><tr><td>e<td>f</table>"), rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
+    out = html.extract(pages).collect()
+    assert len(out) == len(rows)
+    got = {x.page_id: x.text for x in out}
+    for i in range(12):
+        assert got[i] == f"Title {i}\n\nOne two three <x>\n\nText number {i}"
+    assert (got[20], got[21], got[22], got[23]) == ("plain & text", "", "", "a\n\nb\n\nc\n\nd\n\ne\n\nf")
+    assert all(x.n_chars == len(x.text) for x in out)
+    for odd in ("<" * 3000, "<p " * 3000, '<a "' * 3000, "<div>" * 3000, "<!--" + "x" * 9):
+        html.main_blocks(html.parse(odd), None)
+
+
+def test_wrappers_align():
+    a, b = (html.wrapper_of(html.parse(t)) for t in ("<body><h1>x</h1><p>1</p><p>2</p><div class='a1'>same</div></body>", "<body><h1>y</h1><h2>new</h2><p>3</p><div class='a2'>same</div></body>"))
+    assert html.expression(html.merged(a, b, 2)) == "<#page><body><h1>*</>(<h2>=</>)?(<p>*</>)+<div.a0>=</></></>"
+
+
+def test_template_text_goes_outside_articles():
+    pages = [html.parse(f"<body><div class='contact'>Call us now</div><div>story {i}</div></body>") for i in range(6)]
+    wrapper = html.wrapper_of(pages[0])
+    for p in pages[1:]:
+        wrapper = html.merged(wrapper, html.wrapper_of(p), wrapper[1] + 1)
+    assert html.main_blocks(pages[2], wrapper) == ["story 2"]
