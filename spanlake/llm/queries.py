@@ -109,4 +109,17 @@ ORACLES = {
             FROM s LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
         )
         SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m WHERE n = 1""",
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+        ), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+        u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS v, doc_id AS o FROM n UNION SELECT e.b, r.o FROM r JOIN e ON r.v = e.a)
+        SELECT v AS doc_id, any_value(n) AS n_shingles, min(o) AS component_id FROM r JOIN n ON v = doc_id GROUP BY v""",
 }
