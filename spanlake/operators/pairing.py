@@ -33,7 +33,7 @@ def pair_lifo(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column
     closes = (F.col("kind") == "begin") & (nxt("kind") == "end")
     rows = rows.withColumns({"end_seq": F.when(closes, nxt(seq)), "end_cycle": F.when(closes, nxt(cycle))})
     rows = rows.withColumn("matched", F.when(F.col("kind") == "begin", F.col("end_seq").isNotNull()).otherwise(~F.col("_lost")))
-    return rows.withColumn("duration", F.when(F.col("end_cycle").isNotNull(), F.greatest(F.col("end_cycle") - F.col(cycle), F.lit(0)))).drop("_walk", "_floor", "_dropped", "_lost")
+    return rows.withColumn("duration", F.when((F.col("end_cycle") - F.col(cycle)).isNotNull(), F.greatest(F.col("end_cycle") - F.col(cycle), F.lit(0)))).drop("_walk", "_floor", "_dropped", "_lost")
 
 
 def pair_overwrite(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column, is_end: Column, cycle: str) -> DataFrame:
@@ -53,7 +53,7 @@ def pair_overwrite(events: DataFrame, keys: Sequence[str], seq: str, is_begin: C
     )
     closes = (F.col("kind") == "begin") & (after == "end")
     rows = rows.withColumns({"outcome": outcome, "end_seq": F.when(closes, F.lead(seq).over(order)), "end_cycle": F.when(closes, F.lead(cycle).over(order))})
-    return rows.withColumn("duration", F.when(F.col("end_cycle").isNotNull(), F.greatest(F.col("end_cycle") - F.col(cycle), F.lit(0))))
+    return rows.withColumn("duration", F.when((F.col("end_cycle") - F.col(cycle)).isNotNull(), F.greatest(F.col("end_cycle") - F.col(cycle), F.lit(0))))
 
 
 def last_end_wins(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column, is_end: Column, cycle: str) -> DataFrame:

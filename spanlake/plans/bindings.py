@@ -6,7 +6,7 @@ cents, so sums do not depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -335,8 +335,6 @@ def range_join_module(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("range_join_latest", f"""WITH {E_SQL}, s AS (SELECT user_id, event_id AS lo, event_id + 2000 AS hi, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame FROM e WHERE event_type = 'signup')
     SELECT e.event_id, e.user_id, max(frame) AS frame FROM e LEFT JOIN s ON e.user_id = s.user_id AND e.event_id BETWEEN lo AND hi WHERE event_type = 'click' GROUP BY 1, 2""")
 def range_join_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = events(spark, sf_dir)
     spans = e.where(is_type("signup")).select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 2000).alias("hi"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("frame"))
     return joins.newest_enclosing(e.where(is_type("click")).select("event_id", "user_id"), spans, ["user_id"], "event_id", "lo", "hi", "frame")
@@ -408,8 +406,6 @@ def forward_fill_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("conversation_turns", """SELECT conv_id, turn, role, lag(role) OVER x AS previous_role, CAST(length(text) AS BIGINT) AS n_chars, CAST(sum(length(text)) OVER x AS BIGINT) AS running_chars FROM conversations WINDOW x AS (PARTITION BY conv_id ORDER BY turn)""")
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conv_id").orderBy("turn")
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(order).alias("previous_role"), F.length("text").cast("long").alias("n_chars"), F.sum(F.length("text")).over(order).alias("running_chars"))
 
