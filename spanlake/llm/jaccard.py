@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 from .components import connected_components
 from .hashing import shingle_set
 
@@ -59,7 +59,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, row_hash, n, set_key, prefix`` of every row: size, hash and first shingles of its set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, keys, prefixes = [], [], []
             for value in batch.column(2):
                 s = shingle_set((value.as_py() or "").encode("utf-8", "surrogatepass"), WORDS)
@@ -215,7 +215,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
     """``set_key, shingles`` of rows of ``set_key, text``: the whole set as little-endian 64-bit words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set((v.as_py() or "").encode("utf-8", "surrogatepass"), WORDS).astype("<u8").tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import sliced, stored
 
 #: Labelled rows to fit on, about: a hash of the id chooses them.
 FIT_ROWS = 6000
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: LanguageFilters, *, text: str = "text", pre
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text) if at is None else at
             found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import sliced, stored
 from .hashing import SLICE, prefix_sums, spans_hash
 
 SPAN = 400
@@ -88,7 +88,7 @@ def anchor_table(rows: DataFrame, span: int, gram: int) -> DataFrame:
     """``k, z, h, pos, gram, around`` of rows of ``k, z, h, text``: each anchor with hashes of it and its surroundings."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts, places, grams, arounds = [], [], [], []
             for value in batch.column(3):
                 data = np.frombuffer((value.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -262,7 +262,7 @@ def surroundings(rows: DataFrame, span: int, gram: int) -> DataFrame:
     """``gram, around, left, right`` of rows of ``text, spots``, spots being pos, gram and around of anchors."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for value, spots in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data = (value.as_py() or "").encode("utf-8", "surrogatepass")
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     joined = keyed.join(ranges, [f"__{n}" for n in KEYS], "left").select(*names, "__ranges")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out, facts = [], []
             texts = batch.column(batch.schema.get_field_index(text))
             for value, found in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
