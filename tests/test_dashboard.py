@@ -70,7 +70,7 @@ def test_families(events):
 
 def test_reports_and_coverage(spark, events, tmp_path):
     found = {k: dashboard.FAMILIES[k](events) for k in ("counters", "unmodeled")}
-    body = json.loads(dashboard.as_json(found, "a.utrace"))
+    body = json.loads(dashboard.as_json(found, "a.trace"))
     assert body["schema_version"] == 2 and body["dashboard"]["counters"][0]["name"] == "fps"
     assert "&lt;b&gt;" in dashboard.as_html(found, "x <y>") and "x &lt;y&gt;" in dashboard.as_html(found, "x <y>")
     assert dashboard.as_text(found).startswith("counters (1)")

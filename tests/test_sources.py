@@ -40,7 +40,7 @@ def sample(protocol=7):
 
 @pytest.mark.parametrize("protocol", [5, 7])
 def test_decodes_a_capture(spark, tmp_path, protocol):
-    (tmp_path / "a.utrace").write_bytes(sample(protocol))
+    (tmp_path / "a.trace").write_bytes(sample(protocol))
     p = capture.packets(capture.captures(spark, str(tmp_path)))
     totals = {r.thread_id: (r.packet_count, r.sync_count) for r in capture.packet_totals(p).collect()}
     assert totals == {0: (1, 0), 9: (2, 0), 0x3FFF: (1, 1)}
@@ -63,7 +63,7 @@ def test_damaged_packets(spark, tmp_path):
     for bad in (sample()[:-1], b"ECRT\4\7" + struct.pack("<HH", 2, 9), b"ECRT\4\7" + struct.pack("<HH", 5, 0x3FFF) + b"x", b"ECRT\4\7" + struct.pack("<HHH", 8, 0x8009, 50) + b"ab"):
         with pytest.raises(capture.TraceError):
             list(capture.read_packets(bad, capture.read_header(bad).offset))
-    (tmp_path / "b.utrace").write_bytes(sample()[:-1])
+    (tmp_path / "b.trace").write_bytes(sample()[:-1])
     rows = capture.packets(capture.captures(spark, str(tmp_path)), "PERMISSIVE").collect()
     assert [r.error is not None for r in rows][-1] and len(rows) == 4
 
