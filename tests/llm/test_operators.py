@@ -392,3 +392,14 @@ def test_template_text_goes_outside_articles():
     for p in pages[1:]:
         wrapper = html.merged(wrapper, html.wrapper_of(p), wrapper[1] + 1)
     assert html.main_blocks(pages[2], wrapper) == ["story 2"]
+
+
+def test_layout_names_leave_the_article():
+    text = lambda t: html.main_blocks(html.parse(t), None)
+    for body in ("<body class='right-sidebar has-header'><article>{}</article></body>", "<article class='post comments-open'>{}</article>", "<main class='no-sidebar'><article class='comments-open'>{}</article></main>",
+                 "<div class='layout-sidebar'><div class='fixed-header'><article>{}</article></div></div>", "<body class='widget'><div class='content no-sidebar'>{}</div></body>", "<div class='with-sidebar'><h1>T</h1>{}</div>"):
+        found = text(body.format("<p>Story</p><div class='share'>Share</div><section id='comments'><article class='comment'>First!</article></section>"))
+        assert found in (["Story"], ["T", "Story"]), body
+    assert text("<article><p>Story</p><article class='comment'>First!</article></article><div class='related'><article>Other</article></div>") == ["Story"]
+    assert text("<p>A longer story</p><div class='comments'><article>First!</article></div>") == ["A longer story"]
+    assert text("<div class='sidebar'><p>Side</p></div><div class='post-comments'>Hm</div><p>Story</p>") == ["Story"]
