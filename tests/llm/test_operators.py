@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -403,3 +404,17 @@ def test_layout_names_leave_the_article():
     assert text("<article><p>Story</p><article class='comment'>First!</article></article><div class='related'><article>Other</article></div>") == ["Story"]
     assert text("<p>A longer story</p><div class='comments'><article>First!</article></div>") == ["A longer story"]
     assert text("<div class='sidebar'><p>Side</p></div><div class='post-comments'>Hm</div><p>Story</p>") == ["Story"]
+
+
+def test_html_of_any_depth_and_attribute_length():
+    text = lambda t: html.main_blocks(html.parse(t), html.wrapper_of(html.parse(t)))
+    for n in (99, 150, 20_000):
+        assert text("<div>" * n + "<article><p>Story</p><nav><p>Menu</p></nav><div class='ad'>Buy</div></article></div>After" + "</div>" * (n - 1)) == ["Story"]
+    assert text("<p>a</p>" + "<div>" * 500 + "<nav>Menu</nav><p>b</p>" + "</div>" * 500 + "<p>c</p>") == ["a", "b", "c"]
+    for n in (10, 5000, 200_000):
+        value = "<p class='ad'>x > y</p>" * (n // 20)
+        assert text(f'<article data-x="{value}"><p title=it\'s data-y="hidden id=nav">Story\'s</p></article>') == ["Story's"]
+    started = time.process_time()
+    for odd in ('<a b=">" ' * 50_000, "<div>" * 50_000 + "</section></div><section>" * 20_000, "<section><article>" + "<div>" * 50_000 + "</section>" * 50_000, '<a b="' * 50_000 + ">", "<p>" * 50_000):
+        text(odd)
+    assert time.process_time() - started < 30
