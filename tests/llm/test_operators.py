@@ -418,3 +418,12 @@ def test_html_of_any_depth_and_attribute_length():
     for odd in ('<a b=">" ' * 50_000, "<div>" * 50_000 + "</section></div><section>" * 20_000, "<section><article>" + "<div>" * 50_000 + "</section>" * 50_000, '<a b="' * 50_000 + ">", "<p>" * 50_000):
         text(odd)
     assert time.process_time() - started < 30
+
+
+def test_template_text_goes_inside_articles():
+    page = "<body><main><article><h1>Title {0}</h1><div class='bar'>Tell a friend</div><p>Story {0}</p><div class='box'><p>Our letters</p></div></article><article class='extra'>About us</article></main></body>"
+    pages = [html.parse(page.format(i)) for i in range(6)]
+    wrapper = html.wrapper_of(pages[0])
+    for p in pages[1:]:
+        wrapper = html.merged(wrapper, html.wrapper_of(p), wrapper[1] + 1)
+    assert html.main_blocks(pages[2], wrapper) == ["Title 2", "Story 2"]
