@@ -427,3 +427,16 @@ def test_template_text_goes_inside_articles():
     for p in pages[1:]:
         wrapper = html.merged(wrapper, html.wrapper_of(p), wrapper[1] + 1)
     assert html.main_blocks(pages[2], wrapper) == ["Title 2", "Story 2"]
+
+
+@pytest.mark.parametrize("n", [2, 3, 150])
+def test_repeated_texts_go_at_any_size_of_host(spark, n):
+    page = "<body><div class='{1}'><p>Own {0}</p></div><p>Call us now</p><p>Story {0}</p><div class='x'>About us</div></body>"
+    rows = [(i, f"https://a.example/{i}", page.format(i, f"k{chr(97 + i % 26)}{chr(97 + i // 26)}")) for i in range(n)]
+    rows += [(n + i, f"https://b.example/{i}", f"<article><h1>T {i}</h1><p>Story {i}</p><div>Our letters</div></article><article class='x'><p>Tell a friend</p></article>") for i in range(n)]
+    rows += [(2 * n + i, f"https://{h}.example/none", t) for i, (h, t) in enumerate([("a", None), ("b", "")])]
+    rows += [(2 * n + 2, "https://c.example/1", "<article><h1>T</h1><p>Same</p><p>Old</p></article>"), (2 * n + 3, "https://c.example/2", "<article><h1>T</h1><p>Same</p><p>New</p></article>")]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(n):
+        assert got[i] == f"Own {i}\n\nStory {i}" and got[n + i] == f"T {i}\n\nStory {i}"
+    assert (got[2 * n], got[2 * n + 2], got[2 * n + 3]) == ("", "T\n\nSame\n\nOld", "T\n\nSame\n\nNew")
