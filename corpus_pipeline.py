@@ -15,9 +15,14 @@ from spanlake.llm.queries import packed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language can be told: texts with a letter. Learns as the query of the operator does."""
+    """Keep the documents whose language can be told: texts of which a learned n-gram supports some language.
+
+    Learns as the query of the operator does; where no language can be learned, all texts with a letter stay.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model, pred="lang_pred", score="score").where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return langid.identify(docs, model, pred="lang_pred", score="score").where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from spanlake.llm.common import stored
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -33,3 +34,12 @@ def test_stages(spark, tmp_path):
     assert all(passage[20:-20] not in cut[i].text and cut[i].n_chars == len(cut[i].text) for i in (25, 26))
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in again.collect()) == Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in docs.collect())
+
+
+def test_language_stage_follows_the_model(spark):
+    rows = [(i, "the other one and this there", "en") for i in range(40)] + [(40, "Ωψφ ξζ", "en"), (41, "12 !", "en"), (42, None, None), (43, "another", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], COLUMNS)
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {*range(40), 43}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {x.doc_id for x in corpus_pipeline.language_id(spark, unlabelled, "").collect()} == {*range(41), 43}
