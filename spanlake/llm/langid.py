@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-One Bloom filter per language, stored bit-sliced: position p of the table holds a word whose bit l belongs to
-language l, so one lookup per hash and a bitwise AND return all languages that contain an n-gram. A text's score
+One Bloom filter per language, stored bit-sliced: position p of the table holds words of 64 bits whose bit l belongs
+to language l, as many words as the languages need, so one lookup per hash and a bitwise AND return all languages that contain an n-gram. A text's score
 for a language is the count of its n-grams that the language's filter contains, less the false positives that the
 filter's fill predicts; the largest share decides.
 
@@ -11,7 +11,6 @@ rate in it is at least MEMBER_SHARE of the n-gram's largest rate over all langua
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +23,10 @@ from .common import sliced, stored
 
 #: Labelled rows to fit on, about: a hash of the id chooses them.
 FIT_ROWS = 6000
-#: N-grams kept for each language, the most frequent first; with MAX_LANGUAGES it bounds the model.
+#: Rows of each language to fit on at least, about, so that a rare language is learned in a table of any size.
+LANGUAGE_ROWS = 200
+#: N-grams kept for each language, the most frequent first; with the number of languages it bounds the model.
 MAX_NGRAMS = 40_000
-MAX_LANGUAGES = 64
 MEMBER_SHARE = 0.5
 MIN_COUNT = 5
 BITS = 1 << 20
@@ -84,17 +84,17 @@ class LanguageFilters:
 
     def __init__(self, names: list[str], members: list[np.ndarray]):
         self.names = names
-        self.table = np.zeros(BITS, np.uint64)
+        self.table = np.zeros((-(-len(names) // 64), BITS), np.uint64)
         for n, hashes in enumerate(members):
             for at in positions(hashes):
-                np.bitwise_or.at(self.table, at, np.uint64(1) << np.uint64(n))
-        self.false_rate = np.array([float(np.mean(self.table >> np.uint64(n) & np.uint64(1))) ** HASHES for n in range(len(names))])
+                np.bitwise_or.at(self.table[n // 64], at, np.uint64(1) << np.uint64(n % 64))
+        self.false_rate = np.array([float(np.mean(self.table[n // 64] >> np.uint64(n % 64) & np.uint64(1))) ** HASHES for n in range(len(names))])
 
-    def languages_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Bit l is set if the filter of language l contains the n-gram."""
+    def languages_of(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bit l is set if the filter of language l, counted from the word's first, contains the n-gram."""
         mask = None
         for at in positions(hashes):
-            got = self.table[at]
+            got = self.table[word][at]
             mask = got if mask is None else mask & got
         return mask
 
@@ -106,25 +106,29 @@ class LanguageFilters:
         counts, total = np.zeros(len(self.names)), 0
         for start in range(0, len(codes), SLICE):
             hashes = ngram_hashes(codes[start : start + SLICE + max(SIZES) - 1])
-            mask = self.languages_of(hashes)
+            masks = [self.languages_of(hashes, word) for word in range(len(self.table))]
             total += len(hashes)
-            counts += [np.count_nonzero(mask >> np.uint64(n) & np.uint64(1)) for n in range(len(self.names))]
+            counts += [np.count_nonzero(masks[n // 64] >> np.uint64(n % 64) & np.uint64(1)) for n in range(len(self.names))]
         net = np.maximum(0, (counts - total * self.false_rate) / (1 - self.false_rate))
         best = int(np.argmax(net))
         return self.names[best], float(net[best] / net.sum()) if net.sum() > 0 else 0.0
 
 
 def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, max_ngrams: int = MAX_NGRAMS) -> LanguageFilters:
-    """Fit on about ``fit_rows`` rows of ``labelled`` that have a text and a label.
+    """Fit on about ``fit_rows`` rows of ``labelled`` that have a text and a label, and on all of its languages.
 
-    A hash of the key chooses the rows, so the choice is the same in any order of the rows. N-grams are counted
+    A hash of the key chooses the rows, so the choice is the same in any order of the rows; of each language about
+    LANGUAGE_ROWS at least are chosen, or all that there are. N-grams are counted
     where the rows are; the driver gets at most ``max_ngrams`` for each language.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
+    sizes = stored(known.groupBy(lang).agg(F.count("*").alias("language_rows")), "languages")
+    n = sizes.agg(F.sum("language_rows")).first()[0]
     if not n:
         return LanguageFilters([], [])
-    chosen = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * min(1.0, fit_rows / n)))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    share = F.greatest(F.lit(min(1.0, fit_rows / n)), F.least(F.lit(1.0), LANGUAGE_ROWS / F.col("language_rows")))
+    chosen = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(sizes.withColumnRenamed(lang, "lang")), "lang")
+    chosen = chosen.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.ceil(share * (1 << 30))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +140,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
 
     grams = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     grams = stored(grams, "language-ngrams")
-    totals = {r["lang"]: r["t"] for r in grams.groupBy("lang").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "lang").limit(MAX_LANGUAGES).collect()}
+    totals = {r["lang"]: r["t"] for r in grams.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     names = sorted(totals)
     counts = {}
     for name in names:

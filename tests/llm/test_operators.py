@@ -440,3 +440,13 @@ def test_repeated_texts_go_at_any_size_of_host(spark, n):
     for i in range(n):
         assert got[i] == f"Own {i}\n\nStory {i}" and got[n + i] == f"T {i}\n\nStory {i}"
     assert (got[2 * n], got[2 * n + 2], got[2 * n + 3]) == ("", "T\n\nSame\n\nOld", "T\n\nSame\n\nNew")
+
+
+def test_language_id_learns_more_than_64_and_rare_languages(spark):
+    names = [f"l{n:02d}" for n in range(70)]
+    words = {x: [chr(0x4E00 + 40 * n + j) * 2 + chr(0x4E00 + 40 * n + j + 1) for j in range(20)] for n, x in enumerate(names)}
+    rows = [(1000 * n + i, " ".join(words[x]), x) for n, x in enumerate(names) for i in range(8 if n else 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, fit_rows=100)
+    assert model.names == names and model.table.shape == (2, langid.BITS)
+    assert all(model.predict(" ".join(words[x]))[0] == x for x in names)
