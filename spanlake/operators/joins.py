@@ -11,6 +11,8 @@ from ..storage import written
 
 #: Serials are 24-bit and wrap.
 SERIALS = 1 << 24
+#: Fixed value: sync packets from which on a gap cannot close any more.
+GENUINE_SYNCS = 3
 
 
 def named_facts(facts: DataFrame, catalog: DataFrame, key: str, catalog_key: str, name: str, out: str = "name") -> DataFrame:
@@ -68,9 +70,14 @@ def resolve_ranges(points: DataFrame, ranges: DataFrame, key: Sequence[str], poi
     return out.withColumns({"status": status, name: F.when(F.col("hits") == 1, F.col("_one"))}).drop("_one")
 
 
-def newest_enclosing(points: DataFrame, spans: DataFrame, keys: Sequence[str], seq: str, start: str, end: str, number: str) -> DataFrame:
-    """Each point with the newest span of its keys whose closed range holds it; null if none does."""
-    hits = points.select(*keys, seq).join(spans.select(*keys, start, end, number), list(keys)).where(F.col(seq).between(F.col(start), F.col(end)))
+def newest_enclosing(points: DataFrame, spans: DataFrame, keys: Sequence[str], seq: str, start: str, end: str, number: str, width: int) -> DataFrame:
+    """Each point with the newest span of its keys whose closed range holds it; null if none does.
+
+    Points meet only the spans of their bucket of ``width``, which should be about the spans' length.
+    """
+    buckets = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+    spread = spans.where(F.col(end) >= F.col(start)).select(*keys, start, end, number, F.explode(buckets).alias("_b"))
+    hits = points.select(*keys, seq, F.floor(F.col(seq) / width).alias("_b")).join(spread, [*keys, "_b"]).where(F.col(seq).between(F.col(start), F.col(end)))
     best = hits.groupBy(*keys, seq).agg(F.max(number).alias(number))
     return points.join(best, [*keys, seq], "left")
 
@@ -93,58 +100,113 @@ def coverage(observed: DataFrame, known: DataFrame, key: str) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, *order: Column, name: str = "seq", partitions: int | None = None) -> DataFrame:
-    """Rows with their 0-based place in a total order, without one task that sees them all.
+def in_ranges_of(rows: DataFrame, *order: Column, partitions: int | None = None) -> DataFrame:
+    """Rows sorted in ranges and written, so that the ranges are fixed, with their range ``_part`` and place ``_place``."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    return ranged.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "seq", by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Rows with their 0-based place in a total order, or in the order within ``by``, without one task that sees them all.
 
-    Rows are sorted in ranges and written, so that the ranges are fixed; places within a range are counted there and
-    the ranges' sizes, one row each, are summed up.
+    Places within a range are counted there; the ranges' sizes, one row each, are summed up.
     """
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ranged = in_ranges_of(rows, *(F.col(c) for c in by), *order, partitions=partitions)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     first = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_part", part).join(F.broadcast(sizes.select("_part", first.alias("_first"))), "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first", "_at")
+    placed = ranged.join(F.broadcast(sizes.select("_part", first.alias("_first"))), "_part").withColumn(name, F.col("_first") + F.col("_place")).drop("_part", "_first", "_place")
+    if not by:
+        return placed
+    starts = placed.groupBy(*by).agg(F.min(name).alias("_start"))
+    return _same(placed, starts, by).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
 
 
-def serial_origin(rows: DataFrame, serial: str) -> int | None:
-    """Where the circular run of serials starts: after the largest gap; an inner gap wins over an equal wrap gap.
+def _same(rows: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null; ``other`` has one row for each."""
+    renamed = other.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = [rows[c].eqNullSafe(renamed[f"_by_{c}"]) for c in by]
+    return rows.join(renamed, on, "left").drop(*(f"_by_{c}" for c in by)) if by else rows.crossJoin(F.broadcast(renamed))
+
+
+def carried(rows: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Add the last non-null ``value`` of the keys up to each row, however long a key's run is.
 
-    Each range of serials of one bucket contributes its least and greatest serial and its largest inner gap, so what
-    is ordered globally is one row for each bucket.
+    Runs are cut into ranges that are filled by themselves; what crosses a border is one value for each key and range.
     """
-    width = 1 << 14
-    distinct = rows.where(F.col(serial).isNotNull()).select(F.col(serial).cast("long").alias("s")).distinct().withColumn("b", F.floor(F.col("s") / width))
-    gap = F.col("s") - F.lag("s").over(Window.partitionBy("b").orderBy("s"))
-    inner = distinct.withColumn("gap", gap).groupBy("b").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max(F.struct("gap", (-F.col("s")).alias("neg"))).alias("best"))
-    buckets = sorted((r["lo"], r["hi"], r["best"]["gap"], r["best"]["neg"]) for r in inner.collect())  # at most 1024
-    if not buckets:
-        return None
-    gaps = [(g, n) for _, _, g, n in buckets if g is not None] + [(b[0] - a[1], -b[0]) for a, b in zip(buckets, buckets[1:], strict=False)]
-    wrap = buckets[0][0] + SERIALS - buckets[-1][1]
-    largest = max(gaps, default=(0, 0))
-    return buckets[0][0] if wrap > largest[0] else -largest[1]
-
-
-def serial_order(rows: DataFrame, thread: str, local: str, serial: str, origin: int) -> DataFrame:
-    """Dispatch order ``seq``: by distance from the origin modulo 2**24; unsynced rows follow their thread's last serial.
+    ranged = in_ranges_of(rows, *(F.col(k) for k in keys), F.col(order))
+    upto = Window.partitionBy("_part", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = ranged.groupBy("_part", *keys).agg(F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col("_place"))).alias("_own"))
+    before = F.last("_own", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("_part", *keys, before.alias("_before"))
+    out = _same(ranged.withColumn("_own", F.last(value, ignorenulls=True).over(upto)), edges, ["_part", *keys])
+    return out.withColumn(name, F.coalesce("_own", "_before")).drop("_own", "_before", "_part", "_place")
+
+
+def _gaps(rows: DataFrame, by: Sequence[str], at: str) -> DataFrame:
+    """``by, p, d``: values of ``at`` that follow each other; compared within buckets and across their borders."""
+    spread = rows.withColumn("_b", F.floor(F.col(at) / (1 << 14)))
+    inner = spread.withColumn("p", F.lag(at).over(Window.partitionBy(*by, "_b").orderBy(at))).select(*by, "p", F.col(at).alias("d"))
+    edges = spread.groupBy(*by, "_b").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))  # at most 1024 of each
+    across = edges.select(*by, F.lag("hi").over(Window.partitionBy(*by).orderBy("_b")).alias("p"), F.col("lo").alias("d"))
+    return inner.unionByName(across).where("p is not null")
 
-    Rows before a thread's first serial come first of all.
+
+def serial_origins(rows: DataFrame, by: Sequence[str], serial: str) -> DataFrame:
+    """``by, origin``: where the circular run of serials of each group starts, after the largest gap.
+
+    An inner gap wins over an equal wrap gap, and of equal inner gaps the first. Groups without serials have no row.
     """
-    carry = F.last(serial, ignorenulls=True).over(Window.partitionBy(thread).orderBy(local).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumn("_distance", F.pmod(carry.cast("long") - origin, F.lit(SERIALS)))
-    return numbered(placed, F.col("_distance").asc_nulls_first(), F.col(thread), F.col(local)).drop("_distance")
+    distinct = rows.where(F.col(serial).isNotNull()).select(*by, F.col(serial).cast("long").alias("s")).distinct()
+    inner = _gaps(distinct, by, "s").groupBy(*by).agg(F.max(F.struct((F.col("d") - F.col("p")).alias("gap"), (-F.col("d")).alias("neg"))).alias("best"))
+    ends = distinct.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    wrap = F.col("lo") + SERIALS - F.col("hi")
+    best = _same(ends, inner, by) if by else ends.crossJoin(inner)
+    return best.select(*by, F.when(wrap > F.coalesce("best.gap", F.lit(0)), F.col("lo")).otherwise(-F.col("best.neg")).alias("origin"))
+
+
+def serial_origin(rows: DataFrame, serial: str) -> int | None:
+    """The origin of all rows together; null without serials."""
+    found = serial_origins(rows.withColumn("_all", F.lit(0)), ["_all"], serial).first()
+    return found and found["origin"]
 
 
-def serial_gaps(rows: DataFrame, serial: str, origin: int) -> DataFrame:
-    """Gaps between serials that follow each other: the first missing serial and how many are missing.
+def serial_order(rows: DataFrame, thread: str, local: str, serial: str, origin: int | DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Dispatch order ``seq``: by distance from the origin modulo 2**24; unsynced rows follow their thread's last serial.
 
-    Runs of serials are compared within buckets and across their borders, which are one row for each bucket.
+    Rows before a thread's first serial come first of all. With ``by`` (say, the capture) each group has an order of its
+    own, from the origins of ``serial_origins``.
     """
-    width = 1 << 14
-    d = rows.where(F.col(serial).isNotNull()).select(F.pmod(F.col(serial).cast("long") - origin, F.lit(SERIALS)).alias("d")).withColumn("b", F.floor(F.col("d") / width))
-    inner = d.withColumn("p", F.lag("d").over(Window.partitionBy("b").orderBy("d"))).select("p", "d")
-    edges = d.groupBy("b").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    across = edges.select(F.lag("hi").over(Window.orderBy("b")).alias("p"), F.col("lo").alias("d"))
+    placed = carried(rows, [*by, thread], local, serial, "_carry")
+    placed = placed.withColumn("_origin", F.lit(origin)) if not isinstance(origin, DataFrame) else _same(placed, origin.withColumnRenamed("origin", "_origin"), by)
+    placed = placed.withColumn("_distance", F.pmod(F.col("_carry").cast("long") - F.coalesce("_origin", F.lit(0)), F.lit(SERIALS)))
+    return numbered(placed, F.col("_distance").asc_nulls_first(), F.col(thread), F.col(local), by=by).drop("_distance", "_carry", "_origin")
+
+
+def serial_gaps(rows: DataFrame, serial: str, origin: int | DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Gaps between serials that follow each other: the first missing serial and how many are missing, for each ``by``."""
+    d = rows.where(F.col(serial).isNotNull())
+    d = d.withColumn("_origin", F.lit(origin)) if not isinstance(origin, DataFrame) else _same(d, origin.withColumnRenamed("origin", "_origin"), by)
+    d = d.select(*by, "_origin", F.pmod(F.col(serial).cast("long") - F.col("_origin"), F.lit(SERIALS)).alias("_d"))
     missing = F.col("d") - F.col("p") - 1
-    return inner.unionByName(across).where((missing > 0) & (missing < SERIALS // 2)).select(F.pmod(F.col("p") + 1 + origin, F.lit(SERIALS)).alias("after_serial"), missing.alias("missing"))
+    return _gaps(d, [*by, "_origin"], "_d").where((missing > 0) & (missing < SERIALS // 2)).select(*by, F.pmod(F.col("p") + 1 + F.col("_origin"), F.lit(SERIALS)).alias("after_serial"), missing.alias("missing"))
+
+
+def dispatch_summary(rows: DataFrame, by: Sequence[str], serial: str, origins: DataFrame, syncs: DataFrame | None = None) -> DataFrame:
+    """``synced, unsynced, dispatched, gaps, missing_serials, gap_kind`` of each group.
+
+    A gap is genuine if the capture has at least GENUINE_SYNCS sync packets (``syncs`` has ``by, sync_count``), else
+    provisional: events may still be on their way.
+    """
+    counts = rows.groupBy(*by).agg(F.count(serial).alias("synced"), F.count_if(F.col(serial).isNull()).alias("unsynced"), F.count("*").alias("dispatched"))
+    gaps = serial_gaps(rows, serial, origins, by).groupBy(*by).agg(F.count("*").alias("gaps"), F.sum("missing").alias("missing_serials"))
+    out = _same(counts, gaps, by).fillna(0, ["gaps", "missing_serials"])
+    out = out.withColumn("sync_count", F.lit(0)) if syncs is None else _same(out, syncs, by).fillna(0, ["sync_count"])
+    return out.withColumn("gap_kind", F.when(F.col("gaps") > 0, F.when(F.col("sync_count") >= GENUINE_SYNCS, "genuine").otherwise("provisional"))).drop("sync_count")
+
+
+def single_epoch(rows: DataFrame, by: Sequence[str], serial: str) -> DataFrame:
+    """Rows, failing where a group has as many serials as there are: its order would not be told apart from a second round."""
+    full = rows.groupBy(*by).agg(F.count(serial).alias("_synced")).where(F.col("_synced") >= SERIALS)
+    check = F.when(F.col("_synced") >= SERIALS, F.raise_error(F.lit("UnsupportedFormat: more than one round of serials"))).otherwise(F.lit(0))
+    return _same(rows, full, by).withColumn("_checked", check).where(F.col("_checked").isNull() | (F.col("_checked") == 0)).drop("_synced", "_checked")

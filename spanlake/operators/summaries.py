@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import numbered
+
 
 def scope_totals(facts: DataFrame, by: Sequence[str], cycles: str) -> DataFrame:
     """Count and saturating total of cycles for each group; map-side combined."""
@@ -125,18 +127,23 @@ def two_phase_sum(rows: DataFrame, by: Sequence[str], value: str, salts: int) ->
 def downsample_minmax(rows: DataFrame, by: Sequence[str], seq: str, metrics: Sequence[str], budget: int) -> DataFrame:
     """Keep the first and last row and each bucket's first least and first greatest row of every metric.
 
-    All rows stay where there are at most ``budget``; a budget too small for one bucket keeps the two ends.
+    All rows stay where there are at most ``budget``; a budget too small for one bucket keeps the two ends. Rows are
+    numbered in ranges and buckets are plain groups, so a group of any size is spread over all tasks.
     """
-    order = Window.partitionBy(*by).orderBy(seq)
-    rows = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    columns = rows.columns
+    placed = numbered(rows, F.col(seq), name="_i", by=by)
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("_n"))
+    placed = placed.join(sizes, list(by)) if by else placed.crossJoin(sizes)
+    ends = placed.where((F.col("_n") <= budget) | ((F.col("_i") == 0) & F.lit(budget >= 1)) | ((F.col("_i") == F.col("_n") - 1) & F.lit(budget >= 2)))
     buckets = max(0, budget - 2) // (2 * len(metrics))
-    keep = (F.col("_n") <= budget) | ((F.col("_i") == 0) & F.lit(budget >= 1)) | ((F.col("_i") == F.col("_n") - 1) & F.lit(budget >= 2))
-    if buckets:
-        rows = rows.withColumn("_bucket", F.floor(((F.col("_i") + 1) * buckets - 1) / F.col("_n")))
-        bucket = Window.partitionBy(*by, "_bucket")
-        for m in metrics:
-            keep = keep | (F.col("_i") == F.min_by("_i", F.struct(F.col(m), F.col("_i"))).over(bucket)) | (F.col("_i") == F.max_by("_i", F.struct(F.col(m), -F.col("_i"))).over(bucket))
-    return rows.withColumn("_keep", keep).where("_keep").drop("_i", "_n", "_bucket", "_keep")
+    if not buckets:
+        return ends.select(*columns)
+    bucket = F.floor(((F.col("_i") + 1) * buckets - 1) / F.col("_n")).alias("_bucket")
+    row = F.struct("_i", *columns)
+    best = [f(row, F.struct(F.col(m), sign * F.col("_i"))) for m in metrics for f, sign in ((F.min_by, 1), (F.max_by, -1))]
+    chosen = placed.where(F.col("_n") > budget).groupBy(*by, bucket).agg(F.array(*best).alias("_rows"))
+    chosen = chosen.select(F.explode("_rows").alias("_row")).select("_row.*")
+    return ends.select("_i", *columns).unionByName(chosen).dropDuplicates([*by, "_i"]).select(*columns)
 
 
 def reservoir(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:

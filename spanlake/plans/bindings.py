@@ -337,7 +337,7 @@ def range_join_module(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_join_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     spans = e.where(is_type("signup")).select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 2000).alias("hi"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("frame"))
-    return joins.newest_enclosing(e.where(is_type("click")).select("event_id", "user_id"), spans, ["user_id"], "event_id", "lo", "hi", "frame")
+    return joins.newest_enclosing(e.where(is_type("click")).select("event_id", "user_id"), spans, ["user_id"], "event_id", "lo", "hi", "frame", 2000)
 
 
 @query("frame_correlation", """WITH c AS (SELECT CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT) AS frame, c_acctbal FROM customer), s AS (SELECT CAST(regexp_extract(s_name, '(\\d+)$', 1) AS BIGINT) AS frame, s_acctbal FROM supplier),
@@ -399,6 +399,34 @@ def serial_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.serial_gaps(rows, "serial", joins.serial_origin(rows, "serial") or 0)
 
 
+GROUPED_SQL = """g AS (SELECT user_id % 3 AS trace, user_id % 8 AS thread, event_id AS local, CASE WHEN event_id % 5 <> 0 THEN CAST((event_id * 7 + 16777000) % 16777216 AS BIGINT) END AS serial FROM events),
+    gd AS (SELECT trace, serial, lag(serial) OVER (PARTITION BY trace ORDER BY serial) AS p FROM (SELECT DISTINCT trace, serial FROM g WHERE serial IS NOT NULL)),
+    go AS (SELECT trace, CASE WHEN min(serial) + 16777216 - max(serial) > coalesce(max(serial - p), 0) THEN min(serial) ELSE arg_max(serial, (serial - p, -serial)) FILTER (p IS NOT NULL) END AS origin FROM gd GROUP BY 1)"""
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three captures of eight threads that share their thread ids; one event in five has no serial."""
+    serial = F.when(F.col("event_id") % 5 != 0, (F.col("event_id") * 7 + 16777000) % 16777216)
+    return load(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("trace"), (F.col("user_id") % 8).alias("thread"), F.col("event_id").alias("local"), serial.alias("serial"))
+
+
+@query("serial_order_captures", f"""WITH {GROUPED_SQL}, c AS (SELECT *, last_value(serial IGNORE NULLS) OVER (PARTITION BY trace, thread ORDER BY local) AS carry FROM g)
+    SELECT c.trace, thread, local, serial, row_number() OVER (PARTITION BY c.trace ORDER BY (carry - origin + 16777216) % 16777216 NULLS FIRST, thread, local) - 1 AS seq FROM c JOIN go ON c.trace = go.trace""")
+def serial_order_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joins.single_epoch(grouped(spark, sf_dir), ["trace"], "serial")
+    return joins.serial_order(rows, "thread", "local", "serial", joins.serial_origins(rows, ["trace"], "serial"), by=["trace"])
+
+
+@query("dispatch_summary", f"""WITH {GROUPED_SQL}, r AS (SELECT g.trace, (serial - origin + 16777216) % 16777216 AS q FROM g JOIN go ON g.trace = go.trace WHERE serial IS NOT NULL),
+    p AS (SELECT trace, q - lag(q) OVER (PARTITION BY trace ORDER BY q) - 1 AS missing FROM r), m AS (SELECT trace, count(*) AS gaps, CAST(sum(missing) AS BIGINT) AS missing_serials FROM p WHERE missing > 0 AND missing < 8388608 GROUP BY 1),
+    n AS (SELECT trace, count(serial) AS synced, count(*) - count(serial) AS unsynced, count(*) AS dispatched FROM g GROUP BY 1)
+    SELECT n.*, coalesce(gaps, 0) AS gaps, coalesce(missing_serials, 0) AS missing_serials, CASE WHEN gaps > 0 THEN CASE WHEN n.trace + 2 >= 3 THEN 'genuine' ELSE 'provisional' END END AS gap_kind FROM n LEFT JOIN m ON n.trace = m.trace""")
+def dispatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grouped(spark, sf_dir)
+    syncs = rows.select("trace").distinct().withColumn("sync_count", F.col("trace") + 2)
+    return joins.dispatch_summary(rows, ["trace"], "serial", joins.serial_origins(rows, ["trace"], "serial"), syncs)
+
+
 @query("forward_fill_frame", f"WITH {E_SQL} SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN k END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS frame FROM e")
 def forward_fill_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.forward_fill(events(spark, sf_dir), ["user_id"], "event_id", F.when(is_type("signup"), F.col("k")), "frame").select("event_id", "user_id", "frame")

@@ -33,9 +33,9 @@ def number(name: str) -> Column:
 
 
 def dispatched(events: DataFrame) -> DataFrame:
-    """Add ``seq``: serial order over the threads of one capture; important threads come first."""
-    origin = joins.serial_origin(events, "serial") or 0
-    return joins.serial_order(events.where("uid is not null"), "thread_id", "local_seq", "serial", origin)
+    """Add ``seq``: the serial order over the threads of each capture; important threads come first."""
+    rows = joins.single_epoch(events.where("uid is not null"), TRACE, "serial")
+    return joins.serial_order(rows, "thread_id", "local_seq", "serial", joins.serial_origins(rows, TRACE, "serial"), by=TRACE)
 
 
 def of(events: DataFrame, logger: str, *names: str) -> DataFrame:
