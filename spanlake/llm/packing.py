@@ -134,8 +134,9 @@ def place(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY
     """Add ``sequence_id`` and ``offset`` to ``pieces``, a table that can be reread; lengths are 1 to ``capacity``.
 
     Each row gets a place of its own, ties and repeated rows too; which of two rows of equal length comes first
-    is arbitrary. An empty table stays empty. All other columns pass through.
+    is arbitrary. An empty table stays empty. All other columns pass through; columns of the two new names are replaced.
     """
+    pieces = pieces.drop(*(c for c in ("sequence_id", "offset") if c != length))
     counted = pieces.groupBy(F.col(length).cast("int").alias("l")).count().collect()  # at most ``capacity`` rows
     plan = plan_packing({r["l"]: r["count"] for r in counted}, capacity)
     salts = max(1, math.isqrt(sum(r["count"] for r in counted)))
@@ -145,12 +146,12 @@ def place(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY
     before = Window.partitionBy("__l").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = salted.groupBy("__l", "__salt").agg(F.count("*").alias("__n")).select("__l", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     ranked = salted.withColumn("__row", F.row_number().over(cell.orderBy(F.lit(1)))).join(cells, ["__l", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__row") - 1)
-    spots = pieces.sparkSession.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "p_l int, p_lo long, p_hi long, p_per long, p_first long, p_offset long")
-    at = F.col("__rank") - F.col("p_lo")
+    spots = pieces.sparkSession.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "__p_l int, __p_lo long, __p_hi long, __p_per long, __p_first long, __p_offset long")
+    at = F.col("__rank") - F.col("__p_lo")
     return (
-        ranked.join(F.broadcast(spots), (F.col("__l") == F.col("p_l")) & (F.col("__rank") >= F.col("p_lo")) & (F.col("__rank") < F.col("p_hi")))
-        .withColumns({"sequence_id": F.col("p_first") + F.floor(at / F.col("p_per")), "offset": F.col("p_offset") + at % F.col("p_per") * F.col("__l")})
-        .select(*pieces.columns, F.col("sequence_id").cast("long"), F.col("offset").cast("long"))
+        ranked.join(F.broadcast(spots), (F.col("__l") == F.col("__p_l")) & (F.col("__rank") >= F.col("__p_lo")) & (F.col("__rank") < F.col("__p_hi")))
+        .withColumns({"__sequence": F.col("__p_first") + F.floor(at / F.col("__p_per")), "__offset": F.col("__p_offset") + at % F.col("__p_per") * F.col("__l")})
+        .select(*pieces.columns, F.col("__sequence").cast("long").alias("sequence_id"), F.col("__offset").cast("long").alias("offset"))
     )
 
 

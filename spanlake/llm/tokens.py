@@ -21,12 +21,12 @@ MEMO_CHUNKS = 400_000
 #: Characters of text whose chunks are encoded together.
 GROUP_CHARS = 2_000_000
 
-#: Chunks of these characters fall apart into letters, single digits and punctuation whatever stands around them,
-#: and their letters have simple lower case. An apostrophe may begin a contraction, so it is not among them.
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-SIMPLE = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
-ONE = re.compile(f"[{_LETTERS}]+")
-PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+#: Texts of these characters fall apart as PARTS says whatever their tokenizer's other rules; lower case is simple.
+SIMPLE = re.compile(f"[{_LETTERS}0-9{_MARKS} \t\n\r]*")
+# The word vocabulary's published pattern, for the characters of simple texts.
+_PARTS = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"
+PARTS, PART = re.compile(_PARTS), re.compile(f"(?:{_PARTS})")
 
 
 class WholeTexts:
@@ -39,6 +39,7 @@ class WholeTexts:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)").search
 
     def cut(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -62,7 +63,7 @@ class WholeTexts:
         collects = gc.isenabled()
         gc.disable()  # many small lists, none in a cycle
         try:
-            cuts = [None if any(s in text for s in self.specials) else self.cut(text) for text in texts]
+            cuts = [None if self.special(text) else self.cut(text) for text in texts]
             found = looked_up(self.memo, set(chain.from_iterable(c for c in cuts if c)), self.encode_new)
         finally:
             if collects:
@@ -71,7 +72,7 @@ class WholeTexts:
             if chunks is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             else:
-                yield np.frombuffer(b"".join([found[c] for c in chunks]), "<u4")
+                yield np.frombuffer(b"".join(map(found.__getitem__, chunks)), "<u4")
 
 
 def looked_up(memo: dict[str, bytes], chunks: set[str], encode_new) -> dict[str, bytes]:
@@ -99,22 +100,18 @@ class WordTexts(WholeTexts):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def cut(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+        return PARTS.findall(text.lower()) if SIMPLE.fullmatch(text) else text.replace("\n", " ").split(" ")
 
     def encode_new(self, chunks: list[str]) -> dict[str, bytes]:
-        words = {c: c.lower() for c in chunks if ONE.fullmatch(c)}
-        rest = [c for c in chunks if c not in words]
-        several = {c: PARTS.findall(c.lower()) for c in rest if SIMPLE.fullmatch(c)}
-        parts = looked_up(self.parts, set(words.values()).union(chain.from_iterable(several.values())), self.encode_parts)
-        found = {c: parts[w] for c, w in words.items()}
-        found.update((c, b"".join([parts[x] for x in p])) for c, p in several.items())
-        found.update(super().encode_new([c for c in rest if c not in several]))
+        parts = [c for c in chunks if PART.fullmatch(c)]
+        found = self.encode_parts(parts)
+        if len(found) < len(chunks):
+            found.update(super().encode_new([c for c in chunks if c not in found]))
         return found
 
     def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
