@@ -122,6 +122,9 @@ def test_packing(spark, docs):
     whole = packing.sequences(packing.place(pieces, capacity=64)).collect()
     assert sum(len(w.ids) for w in whole) == 4 * sum(p.length for p in placed)
     assert packing.place(pieces.where("false")).count() == 0
+    clashing = pieces.withColumns({"sequence_id": F.lit("x"), "offset": F.lit(-1.5), "p_l": F.lit(1)})
+    again = packing.place(clashing, capacity=64)
+    assert again.columns == [*pieces.columns, "p_l", "sequence_id", "offset"] and again.agg(F.min("offset"), F.count("sequence_id")).first()[:] == (0, len(placed))
 
 
 @pytest.mark.parametrize("kind,name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
@@ -270,6 +273,40 @@ def test_suffix_dedup(spark, limit):
     assert plain.columns == df.columns and plain.count() == len(rows) and plain.where("doc_id = 92 and text is null").count() == 1
 
 
+@pytest.mark.parametrize("limit", [20_000, 3])
+def test_suffix_dedup_by_words(spark, limit):
+    r = random.Random(7)
+    make = lambda n: [r.choice(["a", "be", "sé", "dog", "I", "zebra", "an"]) + r.choice(["", "n", "x", "y"]) for _ in range(n)]
+    shared = [make(n) for n in (50, 51, 52, 60, 100, 180)]
+    texts = []
+    for i in range(80):
+        parts = [make(r.randint(0, 70)), r.choice(shared) if i % 2 else make(5), make(r.randint(0, 70))]
+        texts.append(r.choice([" ", "\n", " \t "]).join(w for p in parts for w in p))
+    texts += [None, "", " \n", "go " * 200, " ".join(shared[0]), " ".join(shared[1]) + " ", " ".join(shared[1])]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").withColumn("__ranges_", F.lit(1)).repartition(3)
+    words = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    got = {x.doc_id: x.text for x in suffixes.remove_repeats(df, span=51, gram=18, words=True, group_limit=limit).collect()}
+    for i, w in enumerate(words):
+        gone = [False] * len(w)
+        for k in range(len(w) - 50):
+            if count[tuple(w[k : k + 51])] > 1:
+                gone[k : k + 51] = [True] * 51
+        assert (got[i] or "").split() == [x for x, g in zip(w, gone, strict=True) if not g], i
+        assert any(gone) or got[i] == texts[i]
+    assert sum(len(a) != len((got[i] or "").split()) for i, a in enumerate(words)) > 30
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    r = random.Random(8)
+    unit, other = r.randbytes(300).hex()[:400], r.randbytes(1_000_000).hex()
+    texts = [unit * 20_000, other + "x" + unit, other[:500_000] + unit]
+    began = time.time()
+    got = {x.doc_id: x for x in suffixes.remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), digest=True).collect()}
+    assert time.time() - began < 60
+    assert [got[i].n_bytes - got[i].n_removed for i in range(3)] == [0, 1_500_001, 0] and [got[i].n_spans for i in range(3)] == [1, 2, 1]
+
+
 def components_by_force(rows):
     sets = []
     for _, text, *_ in rows:
