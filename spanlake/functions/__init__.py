@@ -11,7 +11,7 @@ BUILD_CONFIGURATION = {0: "Unknown", 1: "Debug", 2: "DebugGame", 3: "Development
 BUILD_TARGET = {0: "Unknown", 1: "Game", 2: "Server", 3: "Client", 4: "Editor", 5: "Program"}
 COUNTER_KIND = {0: "int", 1: "float"}
 FRAME_TYPE = {0: "game", 1: "rendering"}
-ROOT_HEAP = {0: "System", 1: "Video"}
+ROOT_HEAP = {0: "System memory", 1: "Video memory"}
 #: Largest signed 64-bit integer, where sums saturate.
 MAX_LONG = (1 << 63) - 1
 

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_lifo(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column, is_end: Column, cycle: str) -> DataFrame:
+def pair_lifo(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column, is_end: Column, cycle: str, ends: Sequence[str] = ()) -> DataFrame:
     """Stack discipline: an end closes the newest open begin of its key.
 
     Returns every begin and end row with ``kind`` (begin, end), ``depth``, ``matched``, and on matched begins
-    ``end_seq``, ``end_cycle`` and the saturating ``duration``. The stack is a walk reflected at zero: an end is
+    ``end_seq``, ``end_cycle``, ``end_<c>`` for each column c of ``ends``, and the saturating ``duration``. The stack is a walk reflected at zero: an end is
     unmatched exactly where the running minimum of the walk drops.
     """
     order = Window.partitionBy(*keys).orderBy(seq)
@@ -31,16 +31,16 @@ def pair_lifo(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column
     rows = rows.withColumn("_lost", (F.col("kind") == "end") & F.col("_dropped"))
     nxt = lambda c: F.lead(c).over(level)
     closes = (F.col("kind") == "begin") & (nxt("kind") == "end")
-    rows = rows.withColumns({"end_seq": F.when(closes, nxt(seq)), "end_cycle": F.when(closes, nxt(cycle))})
+    rows = rows.withColumns({"end_seq": F.when(closes, nxt(seq)), "end_cycle": F.when(closes, nxt(cycle)), **{f"end_{c}": F.when(closes, nxt(c)) for c in ends}})
     rows = rows.withColumn("matched", F.when(F.col("kind") == "begin", F.col("end_seq").isNotNull()).otherwise(~F.col("_lost")))
     return rows.withColumn("duration", F.when((F.col("end_cycle") - F.col(cycle)).isNotNull(), F.greatest(F.col("end_cycle") - F.col(cycle), F.lit(0)))).drop("_walk", "_floor", "_dropped", "_lost")
 
 
-def pair_overwrite(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column, is_end: Column, cycle: str) -> DataFrame:
+def pair_overwrite(events: DataFrame, keys: Sequence[str], seq: str, is_begin: Column, is_end: Column, cycle: str, ends: Sequence[str] = ()) -> DataFrame:
     """Map discipline: a begin replaces an open one of its key, an end removes it; other ends are unmatched.
 
     Returns begin and end rows with ``kind``, ``outcome`` (matched, overwritten, open or unmatched) and, on matched
-    begins, ``end_seq``, ``end_cycle``, ``duration``.
+    begins, ``end_seq``, ``end_cycle``, ``end_<c>`` for each column c of ``ends``, and ``duration``.
     """
     order = Window.partitionBy(*keys).orderBy(seq)
     rows = events.where(is_begin | is_end).withColumn("kind", F.when(is_begin, "begin").otherwise("end"))
@@ -52,7 +52,7 @@ def pair_overwrite(events: DataFrame, keys: Sequence[str], seq: str, is_begin: C
         .otherwise("open")
     )
     closes = (F.col("kind") == "begin") & (after == "end")
-    rows = rows.withColumns({"outcome": outcome, "end_seq": F.when(closes, F.lead(seq).over(order)), "end_cycle": F.when(closes, F.lead(cycle).over(order))})
+    rows = rows.withColumns({"outcome": outcome, "end_seq": F.when(closes, F.lead(seq).over(order)), "end_cycle": F.when(closes, F.lead(cycle).over(order)), **{f"end_{c}": F.when(closes, F.lead(c).over(order)) for c in ends}})
     return rows.withColumn("duration", F.when((F.col("end_cycle") - F.col(cycle)).isNotNull(), F.greatest(F.col("end_cycle") - F.col(cycle), F.lit(0))))
 
 

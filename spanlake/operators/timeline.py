@@ -79,6 +79,14 @@ def lane_depth(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
     return intervals.join(depth, [*keys, ident])
 
 
+def in_frame(rows: DataFrame, keys: Sequence[str], frame_column: str, frame: int, start: str, end: str, order: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows of a frame in order, at least one, and ``begin, end, intervals, truncated`` of all of them by key."""
+    hits = rows.where(F.col(frame_column) == frame)
+    kept = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= max(1, limit)).drop("_n")
+    totals = hits.groupBy(*keys).agg(F.min(start).alias("begin"), F.max(end).alias("end"), F.count("*").alias("intervals"))
+    return kept, totals.withColumn("truncated", F.col("intervals") > max(1, limit))
+
+
 def window_of_frames(frames: DataFrame, number: str, first: int, last: int, start: str, end: str) -> DataFrame:
     """The cycle window that selected frames span."""
     return frames.where(F.col(number).between(first, last)).agg(F.min(start).alias("window_start"), F.max(end).alias("window_end"), F.count("*").alias("frames"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import session
+from ..storage import shared_folder
+from ..streaming import progressive, session
+from . import captures
 from .bindings import E_SQL, query
 
 
@@ -37,6 +41,30 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = session.event_stream(spark, sf_dir).where(F.col("event_type").isin("signup", "click"))
     markers = e.select((F.col("user_id") % 4).alias("frame_type"), F.col("event_id").alias("seq"), F.unix_micros("ts").alias("cycle"), (F.col("event_type") == "signup").alias("is_begin"))
-    updates = session.drained(session.live_frames(markers), "stream_frames", "update")
-    last = updates.groupBy("frame_type", "frame_number").agg(F.max_by(F.struct("begin_cycle", "end_cycle", "revision"), "revision").alias("f"))
-    return last.select("frame_type", "frame_number", "f.begin_cycle", "f.end_cycle", "f.revision")
+    return session.drained(session.live_frames(markers), "stream_frames", "update", "frame_type", "frame_number")
+
+
+#: Bytes of the chunks that a capture arrives in, and files that its chunks are dealt to, a micro-batch each.
+CHUNK, FILES = 6000, 4
+
+
+def chunked(spark: SparkSession, sf_dir: str, theme: str) -> DataFrame:
+    """A stream of a theme's captures in chunks, which come in no order."""
+    whole = captures.content(captures.THEMES[theme](captures.base(spark, sf_dir)))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / CHUNK)))
+    chunks = whole.select("trace_id", "content", at.alias("chunk_no")).select("trace_id", "chunk_no", F.expr(f"substring(content, cast(chunk_no * {CHUNK} + 1 as int), {CHUNK})").alias("data"))
+    path = f"{shared_folder(spark)}/spanlake/chunks-{uuid.uuid4().hex}"
+    chunks.repartition(FILES, F.col("chunk_no") % FILES).write.parquet(path)
+    return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_capture_events", f"WITH {captures.C_SQL}, {captures.INVENTORY_SQL} SELECT trace_id, logger, event, count(*) AS count FROM i GROUP BY 1, 2, 3")
+def stream_capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of captures that stream in, counted; each comes once although its packets are cut anywhere."""
+    found = session.drained(progressive.events(chunked(spark, sf_dir, "gpu")), "stream_capture_events", "append")
+    return found.dropDuplicates(["trace_id", "thread_id", "local_seq"]).groupBy("trace_id", "logger", "event").agg(F.count("*").alias("count"))
+
+
+@query("stream_capture_scopes", f"WITH {captures.C_SQL}{captures.CPU_SQL} SELECT trace_id, thread_id, spec_id, is_metadata, cycle AS start_cycle, end_cycle, duration FROM sc WHERE matched")
+def stream_capture_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.drained(progressive.scopes(chunked(spark, sf_dir, "scopes")), "stream_capture_scopes", "append")

@@ -37,6 +37,10 @@ class TraceError(Exception):
         self.kind, self.offset, self.path, self.detail = kind, offset, path, detail
 
 
+class Incomplete(TraceError):
+    """Bytes end before a value does; more of them may still come."""
+
+
 def malformed(offset: int, path: str, detail: str) -> TraceError:
     return TraceError("MalformedData", offset, path, detail)
 
@@ -53,7 +57,7 @@ class Cursor:
 
     def take(self, n: int, path: str) -> bytes:
         if n > self.left:
-            raise malformed(self.at, path, f"needs {n} bytes, has {self.left}")
+            raise Incomplete("MalformedData", self.at, path, f"needs {n} bytes, has {self.left}")
         self.at += n
         return self.data[self.at - n : self.at]
 
@@ -236,44 +240,52 @@ class Event:
     aux: dict[int, bytes]
 
 
-def normal_events(thread: int, stream: bytes, registry: dict[int, EventType]) -> Iterator[Event]:
-    """Frame a normal thread's stream: shifted uids, serials of synced types, aux chains and the scope cycle."""
-    c, scopes, n = Cursor(stream), [], 0
+class UnknownType(TraceError):
+    """An event whose type is not declared, or not yet."""
+
+
+def _record(c: Cursor, registry: dict[int, EventType]) -> tuple[int, int | None, bool, bytes, int]:
+    """uid, serial, whether aux records follow, data and aux index of the record at the cursor."""
+    at = c.at
+    uid = c.number(1, "Events.Uid")
+    if uid & 1:
+        uid |= c.number(1, "Events.Uid") << 8
+    first, uid = uid & 0xFF, uid >> 1
+    if uid >= FIRST_USER_UID:
+        kind = registry.get(uid)
+        if kind is None:
+            raise UnknownType("MalformedData", at, "Events.Uid", f"unknown uid {uid}")
+        serial = None if kind.flags["no_sync"] else c.number(3, "Events.Serial")
+        return uid, serial, kind.flags["maybe_has_aux"], c.take(kind.data_size, "Events.Data"), 0
+    if uid == UID_AUX:
+        pack = first | c.number(3, "Aux.Header") << 8
+        return uid, None, False, c.take(pack >> 13, "Aux.Data"), pack >> 8 & 0x1F
+    return uid, None, False, c.take(KNOWN_SIZES.get(uid, 0), "Events.Data"), 0
 
-    def one() -> tuple[int, int | None, bool, bytes, int]:
-        at = c.at
-        uid = c.number(1, "Events.Uid")
-        if uid & 1:
-            uid |= c.number(1, "Events.Uid") << 8
-        first, uid = uid & 0xFF, uid >> 1
-        if uid >= FIRST_USER_UID:
-            kind = registry.get(uid)
-            if kind is None:
-                raise malformed(at, "Events.Uid", f"unknown uid {uid}")
-            serial = None if kind.flags["no_sync"] else c.number(3, "Events.Serial")
-            return uid, serial, kind.flags["maybe_has_aux"], c.take(kind.data_size, "Events.Data"), 0
-        if uid == UID_AUX:
-            pack = first | c.number(3, "Aux.Header") << 8
-            return uid, None, False, c.take(pack >> 13, "Aux.Data"), pack >> 8 & 0x1F
-        return uid, None, False, c.take(KNOWN_SIZES.get(uid, 0), "Events.Data"), 0
 
+def normal_events(thread: int, c: Cursor, registry: dict[int, EventType], scopes: list[int], n: int = 0) -> Iterator[Event]:
+    """Frame a normal thread's stream: shifted uids, serials of synced types, aux chains and the scope cycle.
+
+    The cursor stands behind each event that comes out, and ``scopes`` holds the cycles of open scopes, so that framing
+    can go on from there when more bytes have come.
+    """
     while c.left:
-        uid, serial, has_aux, data, _ = one()
+        uid, serial, has_aux, data, _ = _record(c, registry)
         if uid == UID_AUX_END:
             continue
-        if uid in ENTER_UIDS:
-            scopes.append(int.from_bytes(data, "little"))
-        elif uid in LEAVE_UIDS and scopes:
-            scopes.pop()
         parts: list[tuple[int, bytes]] = []
         while has_aux:
-            kind, _, _, payload, index = one()
+            kind, _, _, payload, index = _record(c, registry)
             if kind == UID_AUX_END:
                 break
             if kind == UID_AUX:
                 parts.append((index, payload))
                 if len(parts) > MAX_AUX:
                     raise TraceError("ResourceLimit", c.at, "Aux", f"over {MAX_AUX} aux records")
+        if uid in ENTER_UIDS:
+            scopes.append(int.from_bytes(data, "little"))
+        elif uid in LEAVE_UIDS and scopes:
+            scopes.pop()
         yield Event(thread, n, uid, serial, scopes[-1] if scopes and uid >= FIRST_USER_UID else None, data, join_aux(iter(parts)))
         n += 1
 
@@ -403,7 +415,7 @@ def raw_events(p: DataFrame, types: DataFrame, mode: str = "FAILFAST") -> DataFr
 
 def thread_events(thread: int, stream: bytes, registry: dict[int, EventType]) -> Iterator[Event]:
     if thread not in IMPORTANT_THREADS:
-        yield from normal_events(thread, stream, registry)
+        yield from normal_events(thread, Cursor(stream), registry, [])
         return
     for n, (_, uid, data) in enumerate(important_events(stream)):
         kind = registry.get(uid)

@@ -1,6 +1,7 @@
 """CPU scope batches: varint records of one thread to intervals.
 
-A thread's records change one stack, with coroutines that set part of it aside, so they are decoded in order.
+A thread's records change one stack, with coroutines that set part of it aside, so they are decoded in order. Threads
+without coroutines, rebases and metadata contexts are decoded as arrays; both ways give the same intervals.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,22 @@ def varints(data: bytes) -> Iterator[int]:
         raise ValueError("a varint is cut off")
 
 
+def varint_array(data: bytes) -> np.ndarray:
+    """The same as unsigned 64-bit numbers."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    if raw[-1] >= 0x80:
+        raise ValueError("a varint is cut off")
+    ends = np.flatnonzero(raw < 0x80)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    out = (raw[starts] & 0x7F).astype(np.uint64)
+    for k in range(1, int((ends - starts).max()) + 1):
+        more = np.flatnonzero(ends - starts >= k)
+        out[more] |= (raw[starts[more] + k] & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+    return out
+
+
 def zigzag(value: int) -> int:
     return value >> 1 ^ -(value & 1)
 
@@ -39,11 +57,30 @@ class Scope:
     is_metadata: bool
     start: int
     before: int = 0
+    batch: int = 0
+
+
+@dataclass
+class Interval:
+    """A closed scope, with the batches that opened and closed it and the metadata that was active when it closed.
+
+    ``active`` lists metadata ids, the innermost first; ``restored`` is the first of them that a restored stack brought.
+    """
+
+    spec: int
+    is_metadata: bool
+    start: int
+    end: int
+    duration: int
+    opened: int
+    closed: int
+    restored: int | None
+    active: list[int]
 
 
 @dataclass
 class CpuThread:
-    """State of one thread over its batches."""
+    """State of one thread over its batches and its metadata stack events."""
 
     base: int = 0
     frequency: int | None = None
@@ -52,6 +89,9 @@ class CpuThread:
     aside: dict[int, list[Scope]] = field(default_factory=dict)
     coroutine: int | None = None
     counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("records", "unmatched_ends", "rebases", "implausible", "coroutine_records"), 0))
+    #: Metadata ids with whether a restored stack brought them, the innermost last.
+    context: list[tuple[int, bool]] = field(default_factory=list)
+    saved: dict[int, list[int]] = field(default_factory=dict)
 
     def set_aside(self, depth: int, cycle: int) -> None:
         """Take the stack above ``depth`` off; keep it if a coroutine is running."""
@@ -62,8 +102,29 @@ class CpuThread:
             if self.coroutine is not None:
                 self.aside[self.coroutine] = taken
 
+    def stack_event(self, kind: str, ident: int | None = None) -> None:
+        """ClearScope, SaveStack or RestoreStack; an unknown id restores nothing."""
+        if kind == "ClearScope":
+            self.context = []
+        elif kind == "SaveStack":
+            self.saved[ident] = [m for m, _ in self.context]
+        elif kind == "RestoreStack":
+            self.context = [(m, True) for m in self.saved.get(ident, [])]
+
+    def leave_metadata(self, ident: int) -> None:
+        """Forget the newest entry of a metadata scope that ends, but not one that was restored."""
+        for i in range(len(self.context) - 1, -1, -1):
+            if self.context[i] == (ident, False):
+                del self.context[i]
+                return
+
     def decode(self, data: bytes) -> Iterator[tuple[int, bool, int, int, int]]:
         """(spec or metadata id, is_metadata, start, end, duration) of each scope that ends."""
+        for i in self.intervals(data, 0):
+            yield i.spec, i.is_metadata, i.start, i.end, i.duration
+
+    def intervals(self, data: bytes, batch: int) -> Iterator[Interval]:
+        """The scopes that end in a batch."""
         slack = self.frequency or DEFAULT_SLACK
         values = varints(data)
         for first in values:
@@ -88,12 +149,17 @@ class CpuThread:
                     if duration > LONGEST * slack:
                         self.counts["implausible"] += 1
                         duration = LONGEST * slack
-                    yield s.spec, s.is_metadata, s.start, cycle, duration
+                    restored = next((m for m, r in reversed(self.context) if r), None)
+                    yield Interval(s.spec, s.is_metadata, s.start, cycle, duration, s.batch, batch, None if s.is_metadata else restored, [m for m, _ in reversed(self.context)])
+                    if s.is_metadata:
+                        self.leave_metadata(s.spec)
                 else:
                     self.counts["unmatched_ends"] += 1
             elif op == ENTER:
                 payload = next(values)
-                self.stack.append(Scope(payload >> 1, bool(payload & 1), cycle))
+                self.stack.append(Scope(payload >> 1, bool(payload & 1), cycle, 0, batch))
+                if payload & 1:
+                    self.context.append((payload >> 1, False))
             else:
                 self.counts["coroutine_records"] += 1
                 resumed = next(values) if op == RESUME else None
@@ -105,21 +171,94 @@ class CpuThread:
             self.last = cycle
 
 
-INTERVALS = "trace_id string, thread_id int, seq long, spec_id long, is_metadata boolean, start_cycle long, end_cycle long, duration long"
+def plain_scopes(data: bytes, frequency: int | None = None) -> tuple[np.ndarray, ...] | None:
+    """Spec, is_metadata, start, end and duration of a thread's scopes as arrays; None where they need a ``CpuThread``.
+
+    Closed scopes come first, in the order of their ends; then open ones with an end of -1. That is so for records
+    without coroutines whose cycles follow one rule: at least the first cycle means absolute, less means relative.
+    """
+    values = varint_array(data)
+    opens = (values & np.uint64(3)) == ENTER
+    # A payload follows each record that opens; in a run of values that look so, every second one is a payload.
+    at = np.arange(len(values))
+    run_start = np.maximum.accumulate(np.where(opens & ~np.concatenate([[False], opens[:-1]]), at, -1))
+    after_open = np.concatenate([[False], opens[:-1]])
+    payload = after_open & (((at - np.concatenate([[0], run_start[:-1]])) & 1) == 1)
+    where = np.flatnonzero(~payload)
+    first = values[where]
+    op = (first & np.uint64(3)).astype(np.int64)
+    if len(op) and op.max() > ENTER:
+        return None
+    if len(where) and op[-1] == ENTER and where[-1] + 1 == len(values):
+        raise ValueError("a record is cut off")
+    cycles = (first >> np.uint64(2)).astype(np.int64)
+    if not len(cycles):
+        empty = np.zeros(0, np.int64)
+        return empty, np.zeros(0, bool), empty, empty, empty
+    absolute = cycles >= cycles[0]
+    absolute[0] = True
+    steps = np.cumsum(np.where(absolute, 0, cycles))
+    anchor = np.maximum.accumulate(np.where(absolute, np.arange(len(cycles)), 0))
+    now = cycles[anchor] + steps - steps[anchor]
+    if (absolute[1:] != (cycles[1:] >= now[:-1])).any():
+        return None
+    walk = np.cumsum(np.where(op == ENTER, 1, -1))
+    floor = np.minimum(0, np.minimum.accumulate(walk))
+    lost = (op == LEAVE) & (floor < np.concatenate([[0], floor[:-1]]))
+    level = np.where(op == ENTER, walk - floor, walk - floor + 1)
+    kept = np.flatnonzero(~lost)
+    kept = kept[np.argsort(level[kept], kind="stable")]
+    begins = op[kept] == ENTER
+    partner = np.full(len(kept), -1)
+    if len(kept) > 1:
+        closes = begins[:-1] & ~begins[1:] & (level[kept[:-1]] == level[kept[1:]])
+        partner[:-1][closes] = kept[1:][closes]
+    begin, end = kept[begins], partner[begins]
+    order = np.lexsort((begin, np.where(end < 0, len(op) + begin, end)))
+    begin, end = begin[order], end[order]
+    detail = values[where[begin] + 1]
+    start, stop = now[begin], np.where(end < 0, -1, now[end])
+    duration = np.minimum(np.maximum(stop - start, 0), LONGEST * (frequency or DEFAULT_SLACK))
+    return (detail >> np.uint64(1)).astype(np.int64), (detail & np.uint64(1)) == 1, start, stop, np.where(end < 0, -1, duration)
+
 
+INTERVALS = "trace_id string, thread_id int, seq long, spec_id long, is_metadata boolean, start_cycle long, end_cycle long, duration long, opened_seq long, closed_seq long, restored_id long, active array<long>"
+_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+_NAMES = [p.split()[0] for p in INTERVALS.split(", ")]
 
-def cpu_intervals(batches: DataFrame, base: int = 0, frequency: int | None = None) -> DataFrame:
-    """Intervals of rows of ``trace_id, thread_id, local_seq, data``; open scopes come last with null ends."""
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+
+def cpu_intervals(batches: DataFrame, base: int = 0, frequency: int | None = None, contexts: bool = False) -> DataFrame:
+    """Intervals of rows of ``trace_id, thread_id, local_seq, data``; open scopes come last with null ends.
+
+    Rows may also have ``base`` and ``frequency``, the capture's own, and with ``contexts`` ``kind`` and ``ident`` of
+    metadata stack events in the same order, and ``batch``, what ``opened_seq`` and ``closed_seq`` name (else null).
+    """
 
     def decode(table: pa.Table) -> pa.Table:
         trace, thread = table["trace_id"][0].as_py(), table["thread_id"][0].as_py()
-        state, rows = CpuThread(base, frequency), []
-        for _, data in sorted(zip(table["local_seq"].to_pylist(), table["data"].to_pylist(), strict=True)):
-            rows += [(trace, thread, len(rows) + i, *found) for i, found in enumerate(state.decode(data))]
-        rows += [(trace, thread, len(rows) + i, s.spec, s.is_metadata, s.start, None, None) for i, s in enumerate(state.stack)]
-        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[p.split()[0] for p in INTERVALS.split(", ")])
+        names = table.column_names
+        own_base = (table["base"][0].as_py() or 0) if "base" in names else base
+        own_frequency = table["frequency"][0].as_py() if "frequency" in names else frequency
+        table = table.sort_by("local_seq")
+        if not contexts and not own_base:
+            found = plain_scopes(b"".join(d for d in table["data"].to_pylist() if d is not None), own_frequency)
+            if found is not None:
+                spec, is_metadata, start, end, duration = found
+                n = len(spec)
+                nulls = lambda kind: pa.nulls(n, kind)
+                masked = lambda x: pa.array(x, mask=end < 0)
+                columns = [pa.repeat(pa.scalar(trace, pa.string()), n), pa.repeat(pa.scalar(thread, pa.int32()), n), pa.array(np.arange(n)), pa.array(spec), pa.array(is_metadata), pa.array(start), masked(end), masked(duration), *map(nulls, _KINDS[8:])]
+                return pa.table(columns, names=_NAMES)
+        state, rows = CpuThread(own_base, own_frequency), []
+        extra = [table[c].to_pylist() if c in names else [None] * len(table) for c in ("kind", "ident", "batch")]
+        for data, kind, ident, batch in zip(table["data"].to_pylist(), *extra, strict=True):
+            if data is None:
+                state.stack_event(kind, ident)
+                continue
+            rows += [(trace, thread, len(rows) + i, x.spec, x.is_metadata, x.start, x.end, x.duration, x.opened, x.closed, x.restored, x.active) for i, x in enumerate(state.intervals(data, batch))]
+        rows += [(trace, thread, len(rows) + i, s.spec, s.is_metadata, s.start, None, None, s.batch, None, None, None) for i, s in enumerate(state.stack)]
+        columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
     return batches.groupBy("trace_id", "thread_id").applyInArrow(decode, INTERVALS)
 
@@ -128,3 +267,16 @@ def batches_of(events: DataFrame) -> DataFrame:
     """``trace_id, thread_id, local_seq, data`` of the CPU batch events among decoded events."""
     rows = events.where((F.col("logger") == "CpuProfiler") & F.col("event").startswith("EventBatch"))
     return rows.select("trace_id", "thread_id", "local_seq", F.unhex(F.get_json_object("fields", "$.Data")).alias("data"))
+
+
+def batches_in_context(events: DataFrame, origin: DataFrame | None = None) -> DataFrame:
+    """The same with metadata stack events and the dispatch place of each, for ``cpu_intervals`` with contexts.
+
+    ``origin`` has ``trace_id, base, frequency`` where the capture tells them.
+    """
+    is_batch = (F.col("logger") == "CpuProfiler") & F.col("event").startswith("EventBatch")
+    rows = events.where(is_batch | (F.col("logger") == "MetadataStack")).select(
+        "trace_id", "thread_id", "local_seq", F.when(is_batch, F.unhex(F.get_json_object("fields", "$.Data"))).alias("data"), F.when(~is_batch, F.col("event")).alias("kind"),
+        F.get_json_object("fields", "$.Id").try_cast("long").alias("ident"), F.col("seq").alias("batch"),
+    )
+    return rows if origin is None else rows.join(origin, "trace_id", "left")

@@ -50,7 +50,7 @@ def test_families(events):
     assert (r.begin_cycle, r.end_cycle, r.duration, r.frame_number, r.revisions) == (150, 260, 110, 0, 2)
     r = one(found["csv"])
     assert (r.begins, r.ends, r.unmatched_ends, r.total_duration) == (1, 2, 1, 50)
-    assert {(m.heap, m.allocated_bytes, m.freed_bytes, m.outstanding_bytes) for m in found["memory"].collect()} == {("System", 64, 64, 0), ("Video", 8, 0, 8)}
+    assert {(m.heap, m.allocated_bytes, m.freed_bytes, m.outstanding_bytes) for m in found["memory"].collect()} == {("System memory", 64, 64, 0), ("Video memory", 8, 0, 8)}
     r = one(found["logs"])
     assert (r.category, r.verbosity, r.sample, r["count"]) == ("LogInit", "Warning", "-3 of ten", 1)
     r = one(found["stats"])
