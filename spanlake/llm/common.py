@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOTS: dict[str, str] = {}
+#: Where each stored table lies, for its release.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,7 +44,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = out, path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned and that nothing reads any more; what was made of them is written."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df))
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

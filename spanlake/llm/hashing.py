@@ -32,10 +32,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums of code times power before each position, one more than there are bytes."""
+    """Sums of code times power before each position, one more than there are bytes; words of 64 bits are codes."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up, out=out[1:])
+    np.cumsum((BYTE_CODES[data] if data.dtype == np.uint8 else data) * up, out=out[1:])
     return out
 
 
@@ -51,7 +51,12 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A hash of each run of bytes other than space and tab to carriage return, A-Z in lower case."""
-    data = np.frombuffer(text.lower(), np.uint8)
+    return word_spans(text.lower())[2]
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each run of bytes other than space and tab to carriage return."""
+    data = np.frombuffer(text, np.uint8)
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + SLICE)
@@ -66,9 +71,9 @@ def word_hashes(text: bytes) -> np.ndarray:
         edge = np.diff(np.concatenate([[True], _SEPARATOR[part], [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(starts):
-            out.append(spans_hash(prefix_sums(part), starts, ends))
+            out.append((starts + at, ends + at, spans_hash(prefix_sums(part), starts, ends)))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
