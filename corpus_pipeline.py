@@ -13,6 +13,9 @@ from spanlake.llm import decontaminate, jaccard, langid, suffixes
 from spanlake.llm.common import stored, table
 from spanlake.llm.queries import packed
 
+#: Words of the shortest passage that may not repeat, and of its substrings that copies are found by.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 18
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told: texts of which a learned n-gram supports some language.
@@ -31,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes and more that the corpus repeats; n_chars follows the text."""
-    kept = suffixes.remove_repeats(docs)
+    """Cut passages of over 50 words that the corpus repeats; n_chars follows the text."""
+    kept = suffixes.remove_repeats(docs, span=PASSAGE_WORDS, gram=PASSAGE_GRAM, words=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
