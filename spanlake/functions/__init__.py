@@ -120,3 +120,25 @@ def elapsed_text(seconds: Column) -> Column:
 
 def shortened(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, n - 1), F.lit("…")))
+
+
+def bytes_text(n: Column) -> Column:
+    """Bytes with the unit that fits; one decimal of KiB, two of MiB and GiB."""
+    size = F.abs(n)
+    return (
+        F.when(size < 1 << 10, F.concat(n.cast("long"), F.lit(" B")))
+        .when(size < 1 << 20, F.format_string("%.1f KiB", n / (1 << 10)))
+        .when(size < 1 << 30, F.format_string("%.2f MiB", n / (1 << 20)))
+        .otherwise(F.format_string("%.2f GiB", n / (1 << 30)))
+    )
+
+
+def compact_text(n: Column) -> Column:
+    """A number with K, M or B and at most one decimal."""
+    size = F.abs(n)
+    short = lambda unit, letter: F.concat(F.regexp_replace(F.format_string("%.1f", n / unit), r"\.0$", ""), F.lit(letter))
+    return F.when(size < 1000, F.regexp_replace(F.format_string("%.1f", n.cast("double")), r"\.0$", "")).when(size < 1e6, short(1e3, "K")).when(size < 1e9, short(1e6, "M")).otherwise(short(1e9, "B"))
+
+
+def ms_text(seconds: Column) -> Column:
+    return F.when(seconds.isNotNull() & ~F.isnan(seconds.cast("double")), F.format_string("%.2f ms", seconds.cast("double") * 1000)).otherwise("—")

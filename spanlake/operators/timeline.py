@@ -116,3 +116,19 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: int,
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
     newest = both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_v")))).where("_rn = 1").drop("_rn", "_v")
     return newest.orderBy(F.desc(order), *keys).limit(keep)
+
+
+def merge_live(old: DataFrame, patch: DataFrame, number: str, keep: int) -> DataFrame:
+    """A patch of frames into a live history; the newest ``keep`` frames stay.
+
+    A patch that begins with a known frame, reaches the end and holds every known frame in between replaces all from
+    its first frame on; another one replaces the frames that it names.
+    """
+    span = patch.agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.countDistinct(number).alias("_n"))
+    suffix = old.join(F.broadcast(span), F.col(number) >= F.col("_lo"))
+    known = suffix.join(patch.select(F.col(number).alias("_p")).distinct(), F.col(number) == F.col("_p"), "left")
+    fits = known.agg((F.coalesce(F.count_if(F.col("_p").isNull()) == 0, F.lit(False)) & (F.min(number) == F.min("_lo"))).alias("_fits"))
+    named = patch.select(F.col(number).alias("_p")).distinct()
+    rest = old.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(fits)).join(named, F.col(number) == F.col("_p"), "left")
+    kept = rest.where(F.col("_p").isNull() & (F.col("_lo").isNull() | ~(F.coalesce("_fits", F.lit(False)) & (F.col(number) >= F.col("_lo"))))).select(*old.columns)
+    return kept.unionByName(patch.select(*old.columns)).orderBy(F.desc(number)).limit(keep)

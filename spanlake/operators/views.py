@@ -38,6 +38,24 @@ def selected_by_position(frames: DataFrame, keys: Sequence[str], order: str, lo:
     return numbered.where((F.col("_at") >= first) & (F.col("_at") <= last)).drop("_at", "_n")
 
 
+def frames_of_brush(frames: DataFrame, keys: Sequence[str], number: str, first: int, last: int) -> DataFrame:
+    """``start_frame, end_frame`` of a brush over the frames in order, by places from 0; no row if it covers all."""
+    order = Window.partitionBy(*keys).orderBy(number)
+    placed = frames.select(*keys, number).withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    clamped = lambda i: F.greatest(F.lit(0), F.least(F.lit(i), F.col("_n") - 1))
+    lo = clamped(first)
+    hi = F.greatest(lo, clamped(last))
+    ends = placed.groupBy(*keys).agg(F.max(F.when(F.col("_at") == lo, F.col(number))).alias("start_frame"), F.max(F.when(F.col("_at") == hi, F.col(number))).alias("end_frame"), F.max(F.when(F.col("_at") == lo, F.col("_at"))).alias("_lo"), F.max(F.when(F.col("_at") == hi, F.col("_at"))).alias("_hi"), F.max("_n").alias("_n"))
+    return ends.where((F.col("_lo") > 0) | (F.col("_hi") < F.col("_n") - 1)).drop("_lo", "_hi", "_n")
+
+
+def brush_of_frames(frames: DataFrame, keys: Sequence[str], number: str, start: int, end: int) -> DataFrame:
+    """``first, last`` places of the frames from ``start`` to ``end``; no row if there are none."""
+    order = Window.partitionBy(*keys).orderBy(number)
+    placed = frames.select(*keys, number).withColumn("_at", F.row_number().over(order) - 1)
+    return placed.where(F.col(number).between(start, end)).groupBy(*keys).agg(F.min("_at").alias("first"), F.max("_at").alias("last"))
+
+
 def rolled_up(tops: DataFrame, by: Sequence[str], name: str, count: str, cycles: str, limit: int = 40) -> DataFrame:
     """Sum the top lists of selected frames anew; what a list left out stays out."""
     totals = tops.groupBy(*by, name).agg(F.sum(count).alias(count), F.sum(cycles).alias(cycles))

@@ -6,8 +6,6 @@ event types and binds operators to their fields, so a provider reads only what i
 
 from __future__ import annotations
 
-import html
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +16,6 @@ from ..functions import decoders
 from ..operators import joins, pairing, summaries, timeline
 from ..sources import cpu
 
-SCHEMA_VERSION = 2
 # How many rows each family shows.
 CAPS = {
     "frames": 120, "timeline": 500, "counter_points": 40, "hot_stats": 64, "csv_samples": 40, "files": 64, "file_samples": 40, "log_categories": 50, "log_messages": 50, "memory_tags": 4096, "packages": 80, "io_samples": 40, "breadcrumbs": 40,
@@ -879,31 +876,3 @@ def cpu_families(e: DataFrame) -> dict[str, DataFrame]:
 def dashboard(events: DataFrame) -> dict[str, DataFrame]:
     """Every family, lazily, over events in dispatch order."""
     return {**{name: family(events) for name, family in FAMILIES.items()}, **cpu_families(events)}
-
-
-# Reports: families are capped, so they are small.
-
-
-def as_json(families: dict[str, DataFrame], path: str, status: str = "ok") -> str:
-    body = {name: [json.loads(x) for x in df.toJSON().collect()] for name, df in families.items()}
-    return json.dumps({"schema_version": SCHEMA_VERSION, "status": status, "path": path, "dashboard": body})
-
-
-def as_text(families: dict[str, DataFrame]) -> str:
-    lines = []
-    for name, df in families.items():
-        rows = df.collect()
-        lines.append(f"{name} ({len(rows)})")
-        lines += ["  " + ", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows]
-    return "\n".join(lines)
-
-
-def as_html(families: dict[str, DataFrame], title: str) -> str:
-    """A page that needs no other file; every value is escaped."""
-    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
-    parts = []
-    for name, df in families.items():
-        head = "".join(cell("th", c) for c in df.columns)
-        body = "".join(f"<tr>{''.join(cell('td', v) for v in r)}</tr>" for r in df.collect())
-        parts.append(f"<section>{cell('h2', name)}<table><tr>{head}</tr>{body}</table></section>")
-    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>{cell('h1', title)}{''.join(parts)}"

@@ -354,6 +354,28 @@ def packets(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return files.mapInArrow(scan, PACKETS)
 
 
+HEADERS = "trace_id string, magic string, metadata_size int, transport int, protocol int, data_offset int, error string"
+
+
+def headers(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """The header of each capture; in PERMISSIVE mode a damaged one is a row with its error."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for trace, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    h = read_header(content.as_py())
+                    rows.append((trace, h.magic, h.metadata_size, h.transport, h.protocol, h.offset, None))
+                except TraceError as e:
+                    if mode == "FAILFAST":
+                        raise
+                    rows.append((trace, None, None, None, None, None, str(e)))
+            yield as_batch(rows, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()), HEADERS)
+
+    return files.mapInArrow(scan, HEADERS)
+
+
 def as_batch(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
     names = [part.split()[0] for part in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)

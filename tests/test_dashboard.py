@@ -6,7 +6,7 @@ import struct
 import pytest
 
 from spanlake.functions import decoders
-from spanlake.plans import dashboard
+from spanlake.plans import dashboard, reports
 from spanlake.sources import catalog
 
 SCHEMA = "trace_id string, thread_id int, local_seq long, uid int, logger string, event string, serial int, scope_cycle decimal(20,0), fields string, error string"
@@ -56,7 +56,7 @@ def test_families(events):
     r = one(found["stats"])
     assert (r.samples, r.min_value, r.max_value, r.latest_value) == (3, 42.0, 44.5, 44.5)
     r = one(found["gpu_queues"])
-    assert (r.work, r.busy_cycles, r.queue_type, r.gpu, r.queue_index) == (1, 15, 3, 2, 1)
+    assert (r.work_count, r.work_cycles, r.queue_type, r.gpu, r.queue_index) == (1, 15, 3, 2, 1)
     assert int(one(found["gpu_latency"]).median) == 6
     r = one(found["regions"])
     assert (r.name, r.category, r["count"], r.total_cycles) == ("load", "io", 1, 4)
@@ -64,16 +64,16 @@ def test_families(events):
     r = one(found["channels"])
     assert (r.enabled, r.toggles) == (True, 1)
     assert one(found["threads"]).name == "GameThread" and one(found["unmodeled"]).event == "Thing"
-    for name in ("bookmarks", "tasks", "task_waits", "load_requests", "load_packages", "files", "modules", "callstacks", "slate", "metadata_stack", "gpu_breadcrumbs", "llm_catalog", "cpu_specs", "memory_tags"):
+    for name in ("bookmarks", "tasks", "task_waits", "load_requests", "load_packages", "files", "modules", "callstacks", "slate", "metadata_stack", "gpu_breadcrumbs", "llm_tags", "llm_values", "task_names", "load_classes", "io_backends", "thread_timing", "end_threads", "named_events", "file_samples", "cpu_specs", "memory_tags"):
         assert found[name].count() == 0, name
 
 
 def test_reports_and_coverage(spark, events, tmp_path):
     found = {k: dashboard.FAMILIES[k](events) for k in ("counters", "unmodeled")}
-    body = json.loads(dashboard.as_json(found, "a.trace"))
+    body = json.loads(reports.as_json(found, "a.trace"))
     assert body["schema_version"] == 2 and body["dashboard"]["counters"][0]["name"] == "fps"
-    assert "&lt;b&gt;" in dashboard.as_html(found, "x <y>") and "x &lt;y&gt;" in dashboard.as_html(found, "x <y>")
-    assert dashboard.as_text(found).startswith("counters (1)")
+    assert "&lt;b&gt;" in reports.as_html(found, "x <y>") and "x &lt;y&gt;" in reports.as_html(found, "x <y>")
+    assert reports.as_text(found).startswith("counters (1)")
     (tmp_path / "u.txt").write_text("Other.Thing\n\n  Never.Seen \nOther.Thing\n")
     status = {r.name: r.status for r in dashboard.coverage(events, catalog.universe(spark, str(tmp_path / "u.txt"))).collect()}
     assert status["Never.Seen"] == "unseen" and status["Other.Thing"] == "observed" and status["Misc.EndFrame"] == "not_in_universe"
