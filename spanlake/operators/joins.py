@@ -52,18 +52,22 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], seq: str, valu
     return both.withColumn("_got", got).where("_side = 1").select(*cols, *(F.col(f"_got._v{i}").alias(f"{prefix}{v}") for i, v in enumerate(values)))
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int) -> DataFrame:
+def in_ranges(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int, on: Sequence[str] = ()) -> DataFrame:
     """Points with the ranges [start, end) that hold them: equal buckets of ``width`` first, then the bounds.
 
-    A range goes to every bucket that it meets, so ``width`` should be about the ranges' length.
+    A range goes to every bucket that it meets, so ``width`` should be about the ranges' length. ``on`` names columns
+    that a point and its range share.
     """
     spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))).where(F.col(end) > F.col(start))
-    return points.withColumn("_b", F.floor(F.col(point) / width)).join(spread, "_b").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_b")
+    return points.withColumn("_b", F.floor(F.col(point) / width)).join(spread, ["_b", *on]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_b")
 
 
-def resolve_ranges(points: DataFrame, ranges: DataFrame, key: Sequence[str], point: str, start: str, end: str, name: str, width: int) -> DataFrame:
-    """``status`` resolved, ambiguous or missing, and the range's name where exactly one range holds the point."""
-    hits = in_ranges(points.select(*key, point).distinct(), ranges.select(start, end, name), point, start, end, width)
+def resolve_ranges(points: DataFrame, ranges: DataFrame, key: Sequence[str], point: str, start: str, end: str, name: str, width: int, on: Sequence[str] = ()) -> DataFrame:
+    """``status`` resolved, ambiguous or missing, and the range's name where exactly one range holds the point.
+
+    ``on`` names those of the ``key`` that a range has too and must share with its points.
+    """
+    hits = in_ranges(points.select(*key, point).distinct(), ranges.select(*on, start, end, name), point, start, end, width, on)
     counted = hits.groupBy(*key, point).agg(F.count("*").alias("hits"), F.min(name).alias("_one"))
     out = points.join(counted, [*key, point], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     status = F.when(F.col("hits") == 0, "missing").when(F.col("hits") == 1, "resolved").otherwise("ambiguous")

@@ -555,6 +555,29 @@ family("llm_values", "resources", """, x AS (SELECT trace_id, k % 2 AS tracker,
 family("modules", "resources", f""", x AS (SELECT trace_id, k, event_id AS seq, cycle, CASE event_type WHEN 'click' THEN 'b' ELSE 'e' END AS kind FROM c WHERE event_type = 'error' OR event_type = 'click' AND k % 9 > 0), {map_sql("x", "trace_id, k")}
     SELECT trace_id, k * 65536 AS base, any_value(k % 9 * 4096) AS size, any_value('m' || k || '.dll') AS name, arg_max(outcome IN ('open', 'overwritten'), seq) AS active, count(*) FILTER (outcome = 'overwritten') AS duplicates FROM x_p WHERE kind = 'b' GROUP BY trace_id, k""", "trace_id base size name active duplicates")
 
+
+
+@query("capture_symbols", f"""WITH {C_SQL}, x AS (SELECT trace_id, k, event_id AS seq, cycle, CASE event_type WHEN 'click' THEN 'b' ELSE 'e' END AS kind FROM c WHERE event_type = 'error' OR event_type = 'click' AND k % 9 > 0), {map_sql("x", "trace_id, k")},
+    m AS (SELECT trace_id, k * 65536 AS base, any_value(k % 9 * 4096) AS size, any_value('m' || k || '.dll') AS name FROM x_p WHERE kind = 'b' GROUP BY trace_id, k), a AS (SELECT DISTINCT trace_id, k * 40000 AS address FROM c WHERE event_type = 'view'),
+    h AS (SELECT a.trace_id, address, count(base) AS hits, any_value(name) AS name, any_value(address - base) AS rva FROM a LEFT JOIN m ON a.trace_id = m.trace_id AND address >= base AND address < base + size GROUP BY 1, 2)
+    SELECT trace_id, address, CASE hits WHEN 0 THEN 'missing' ELSE 'resolved' END AS status, name, rva, CASE WHEN hits = 1 THEN 'f' || (rva // 8192) END AS symbol FROM h""")
+def capture_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses to modules, offsets and symbols; the symbols' table has a function for every 8 KiB of a module."""
+    e = decoded(spark, sf_dir, "resources")
+    loaded = dashboard.modules(e).select("trace_id", "base", "size", "name")
+    addresses = base(spark, sf_dir).where("event_type = 'view'").select("trace_id", (F.col("k") * 40000).alias("address")).distinct()
+    names = loaded.select(F.col("name").alias("module")).distinct().select("module", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    symbols = names.select("module", (F.col("i") * 8192).alias("start"), (F.col("i") * 8192 + 8192).alias("end"), F.concat(F.lit("f"), "i").alias("symbol"))
+    return dashboard.symbolized(addresses, loaded, symbols).select("trace_id", "address", "status", "name", "rva", "symbol")
+
+
+@query("capture_callstack_status", f"""WITH {C_SQL}, s AS (SELECT DISTINCT trace_id, k % 10 AS id FROM c WHERE event_type = 'view' AND k < 20 AND k % 10 <> 0) SELECT c.trace_id, CASE WHEN k % 12 = 0 THEN 'none' WHEN id IS NOT NULL THEN 'resolved' ELSE 'missing' END AS callstack_status, count(*) AS allocations FROM c LEFT JOIN s ON c.trace_id = s.trace_id AND k % 12 = id WHERE event_type = 'purchase' GROUP BY 1, 2""")
+def capture_callstack_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = decoded(spark, sf_dir, "resources")
+    rows = dashboard.of(e, "Memory", "Alloc").select("trace_id", dashboard.number("CallstackId").alias("callstack"))
+    return dashboard.resolve_callstacks(rows, dashboard.callstacks(e), "callstack").groupBy("trace_id", "callstack_status").agg(F.count("*").alias("allocations"))
+
+
 # GPU.
 
 GPU_SQL = f""", g AS (SELECT *, user_id % 3 + 256 * (user_id % 2) + 65536 AS queue FROM c), q AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN k % 20 END IGNORE NULLS) OVER (PARTITION BY trace_id, queue ORDER BY event_id) AS frame FROM g),

@@ -451,7 +451,7 @@ def resolve_callstacks(rows: DataFrame, stacks: DataFrame, key: str) -> DataFram
 
 def symbolized(addresses: DataFrame, loaded: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Addresses with module, offset and status; ``symbols`` (module, start, end, symbol) name them if given."""
-    found = joins.resolve_ranges(addresses, loaded.withColumn("stop", F.col("base") + F.col("size")), TRACE, "address", "base", "stop", "name", 1 << 20)
+    found = joins.resolve_ranges(addresses, loaded.withColumn("stop", F.col("base") + F.col("size")), TRACE, "address", "base", "stop", "name", 1 << 20, on=TRACE)
     located = found.join(loaded.select(*TRACE, "name", "base"), [*TRACE, "name"], "left").withColumn("rva", F.col("address") - F.col("base"))
     if symbols is None:
         return located
@@ -742,15 +742,15 @@ def metadata_names(found: DataFrame) -> DataFrame:
 
 def metadata_spec_summaries(e: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
     """Records, bytes and decode quality of each spec, its first texts and names in order, and its scopes."""
-    last = records.groupBy(*TRACE, "metadata_id").agg(F.max_by(F.struct("spec_id", "rendered", "bytes", "decoded_bytes", "skipped_bytes", "n_values", "strings"), "seq").alias("r")).select(*TRACE, "metadata_id", "r.*")
+    last = records.groupBy(*TRACE, "metadata_id").agg(F.max_by(F.struct("spec_id", "rendered", "bytes", "decoded_bytes", "skipped_bytes", "failed_reads", "n_values", "strings"), "seq").alias("r")).select(*TRACE, "metadata_id", "r.*")
     good = F.col("n_values") > 0
     firsts = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, CAPS["spec_strings"])
     of_records = last.groupBy(*TRACE, "spec_id").agg(
-        F.count("*").alias("records"), F.sum("bytes").alias("metadata_bytes"), F.count_if(good).alias("decoded_records"), F.sum("n_values").alias("decoded_values"), F.sum("decoded_bytes").alias("decoded_bytes"), F.sum("skipped_bytes").alias("undecoded_bytes"), F.count_if(~good & (F.col("bytes") > 0)).alias("undecoded_records"),
+        F.count("*").alias("records"), F.sum("bytes").alias("metadata_bytes"), F.count_if(good).alias("decoded_records"), F.sum("n_values").alias("decoded_values"), F.sum("decoded_bytes").alias("decoded_bytes"), F.sum("skipped_bytes").alias("undecoded_bytes"), F.count_if(~good & (F.col("bytes") > 0)).alias("undecoded_records"), F.count_if(F.col("failed_reads") > 0).alias("failed_records"),
         firsts(F.flatten(F.collect_set("strings"))).alias("strings"), firsts(F.collect_set(F.when(good, F.col("rendered")))).alias("rendered_names"), F.min(F.when(good, F.col("metadata_id"))).alias("sample_id"),
     )
     scopes = found.groupBy(*TRACE, "spec_id").agg(F.count("*").alias("scopes"), F.sum("duration").alias("total_cycles"))
-    out = of_records.join(scopes, [*TRACE, "spec_id"], "full_outer").fillna(0, ["records", "metadata_bytes", "decoded_records", "decoded_values", "decoded_bytes", "undecoded_bytes", "undecoded_records", "scopes", "total_cycles"])
+    out = of_records.join(scopes, [*TRACE, "spec_id"], "full_outer").fillna(0, ["records", "metadata_bytes", "decoded_records", "decoded_values", "decoded_bytes", "undecoded_bytes", "undecoded_records", "failed_records", "scopes", "total_cycles"])
     named = out.join(metadata_specs(e).select(*TRACE, "spec_id", "name"), [*TRACE, "spec_id"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("#"), "spec_id")))
     return summaries.top_k_per_group(named, TRACE, CAPS["metadata_specs"], F.desc("total_cycles"), F.desc("scopes"), F.desc("records"), F.desc("metadata_bytes"), F.col("spec_id"))
 

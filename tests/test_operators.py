@@ -122,3 +122,42 @@ def test_ranges_and_coverage(spark):
     assert got == {0: ("resolved", "a"), 5: ("ambiguous", None), 9: ("resolved", "b"), 40: ("missing", None)}
     a, b = (spark.createDataFrame([(x,) for x in s], "t string") for s in ("xy", "yz"))
     assert {(r.t, r.status) for r in joins.coverage(a, b, "t").collect()} == {("x", "not_in_universe"), ("y", "observed"), ("z", "unseen")}
+
+
+def test_reservoir_is_a_fair_choice_that_partitions_do_not_change(spark):
+    df = spark.range(2000).withColumnRenamed("id", "i")
+    first = {r.i for r in summaries.reservoir(df.repartition(7), 200, 42, "i").collect()}
+    assert first == {r.i for r in summaries.reservoir(df.repartition(1), 200, 42, "i").collect()} and len(first) == 200
+    halves = [sum(i < 1000 for i in {r.i for r in summaries.reservoir(df, 200, seed, "i").collect()}) for seed in range(8)]
+    assert len(set(map(int, halves))) > 1 and 700 < sum(halves) < 900
+    assert summaries.reservoir(df, 5000, 1, "i").count() == 2000
+
+
+def test_orders_of_captures(spark):
+    """Two captures with equal threads: each has an order, an origin and gaps of its own, carried over any partitioning."""
+    r = random.Random(5)
+    rows = []
+    for trace, start in (("a", 100), ("b", joins.SERIALS - 20)):
+        serials = [(start + i) % joins.SERIALS for i in range(60) if i != 7]
+        for local, s in enumerate(serials):
+            rows.append((trace, r.randrange(3), local, s))
+            if r.random() < 0.4:
+                rows.append((trace, rows[-1][1], local * 1000 + 500, None))
+    rows = [(t, th, n, s) for n, (t, th, _, s) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "t string, th int, n long, s long").repartition(3)
+    origins = joins.serial_origins(df, ["t"], "s")
+    assert {x.t: x.origin for x in origins.collect()} == {"a": 100, "b": joins.SERIALS - 20}
+    got = joins.serial_order(df, "th", "n", "s", origins, by=["t"]).collect()
+    for trace in "ab":
+        ordered = [x for x in sorted(got, key=lambda x: x.seq) if x.t == trace]
+        assert [x.seq for x in ordered] == list(range(len(ordered)))
+        assert [x.s for x in ordered if x.s is not None] == [s for t, _, _, s in rows if t == trace and s is not None]
+        for before, x in zip(ordered, ordered[1:], strict=False):
+            if x.s is None and any(y.th == x.th and y.n < x.n and y.s is not None for y in ordered):
+                assert before.th == x.th and before.n < x.n
+    assert {(x.t, x.missing) for x in joins.serial_gaps(df, "s", origins, ["t"]).collect()} == {("a", 1), ("b", 1)}
+    kinds = joins.dispatch_summary(df, ["t"], "s", origins, spark.createDataFrame([("a", 3)], "t string, sync_count long")).collect()
+    assert {x.t: (x.synced, x.gaps, x.gap_kind) for x in kinds} == {"a": (59, 1, "genuine"), "b": (59, 1, "provisional")}
+    full = spark.range(joins.SERIALS).select(F.lit("a").alias("t"), F.col("id").alias("s"))
+    with pytest.raises(Exception, match="UnsupportedFormat"):
+        joins.single_epoch(full, ["t"], "s").count()
