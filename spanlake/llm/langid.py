@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, stored
+from .common import release, sliced, stored
 
 #: Labelled rows to fit on, about: a hash of the id chooses them.
 FIT_ROWS = 6000
@@ -28,6 +28,7 @@ LANGUAGE_ROWS = 200
 #: N-grams kept for each language, the most frequent first; with the number of languages it bounds the model.
 MAX_NGRAMS = 40_000
 MEMBER_SHARE = 0.5
+#: How often an n-gram occurs at least in the rows that a language is fitted on, if any of the language's does.
 MIN_COUNT = 5
 BITS = 1 << 20
 HASHES = 3
@@ -138,8 +139,11 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
                 hashes, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    grams = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    grams = stored(grams, "language-ngrams")
+    counted = stored(chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-ngram-counts")
+    # A language of few n-grams, all of them rarer, keeps its most frequent ones.
+    least = counted.groupBy("lang").agg(F.least(F.max("n"), F.lit(MIN_COUNT)).alias("least"))
+    grams = stored(counted.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least")).drop("least"), "language-ngrams")
+    release(counted)
     totals = {r["lang"]: r["t"] for r in grams.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     names = sorted(totals)
     counts = {}
