@@ -662,6 +662,12 @@ def capture_scope_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.scope_totals(dashboard.cpu_intervals(e, False), dashboard.cpu_specs(e).select("trace_id", "spec_id", "name"))
 
 
+@query("capture_spec_totals", f"""WITH {C_SQL}{CPU_SQL} SELECT trace_id, spec_id, CASE WHEN spec_id < 5 THEN 'Scope' || spec_id ELSE '#5' END AS name, count(*) AS count, CAST(sum(duration) AS BIGINT) AS total_cycles FROM sc WHERE matched AND NOT is_metadata GROUP BY 1, 2, 3""")
+def capture_spec_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, summed up while the scopes are decoded: partial sums of threads, then their sum."""
+    return dashboard.spec_totals(decoded(spark, sf_dir, "scopes"))
+
+
 @query("capture_metadata", f"""WITH {C_SQL}{CPU_SQL} SELECT trace_id, spec_id, CASE spec_id WHEN 0 THEN 'Frame' WHEN 1 THEN 'Asset' ELSE '#2' END AS name, count(*) AS count, CAST(sum(duration) AS BIGINT) AS total_cycles FROM mi GROUP BY 1, 2, 3""")
 def capture_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata scopes by spec, those alone that were known when they began."""

@@ -691,9 +691,24 @@ def scope_totals(intervals: DataFrame, specs: DataFrame | None = None, by: Seque
     return named.withColumn("name", F.coalesce(F.col("name") if specs is not None else F.lit(None).cast("string"), F.concat(F.lit("#"), "spec_id"))).orderBy(*TRACE, *by, F.desc("total_cycles"), "spec_id")
 
 
+def thread_totals(e: DataFrame) -> DataFrame:
+    """Scopes and cycles of each thread and spec, summed up where they are decoded."""
+    origin = prologue(e).select(*TRACE, F.col("start_cycle").alias("base"), "frequency")
+    totals = cpu.cpu_totals(cpu.batches_of(e).join(origin, TRACE, "left"))
+    return totals.withColumn("total_cycles", F.least("total_cycles", F.lit(fn.MAX_LONG)).cast("long"))
+
+
+def spec_totals(e: DataFrame) -> DataFrame:
+    """The same of all threads together, by the names of the specs."""
+    sums = thread_totals(e).groupBy(*TRACE, "spec_id").agg(F.sum("count").alias("count"), F.sum("total_cycles").alias("total_cycles"))
+    named = sums.join(cpu_specs(e).select(*TRACE, "spec_id", "name"), [*TRACE, "spec_id"], "left")
+    return named.withColumn("name", F.coalesce("name", F.concat(F.lit("#"), "spec_id"))).orderBy(*TRACE, F.desc("total_cycles"), "spec_id")
+
+
 def thread_scopes(e: DataFrame) -> DataFrame:
     """Scopes of each thread with its declared name, and their seconds."""
-    return with_seconds(with_thread_names(scope_totals(cpu_intervals(e, False), cpu_specs(e).select(*TRACE, "spec_id", "name"), ["thread_id"]), e), e, total_seconds="total_cycles")
+    named = thread_totals(e).join(cpu_specs(e).select(*TRACE, "spec_id", "name"), [*TRACE, "spec_id"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("#"), "spec_id")))
+    return with_seconds(with_thread_names(named, e), e, total_seconds="total_cycles").orderBy(*TRACE, "thread_id", F.desc("total_cycles"), "spec_id")
 
 
 def metadata_specs(e: DataFrame) -> DataFrame:

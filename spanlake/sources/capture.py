@@ -27,6 +27,8 @@ ENTER_UIDS, LEAVE_UIDS = (6, 8), (7, 9)
 FLAG_NAMES = ("important", "maybe_has_aux", "no_sync", "definition")
 #: Most aux records of one event.
 MAX_AUX = 64_000
+#: Bytes of payloads that leave a task at a time.
+BATCH_BYTES = 8 << 20
 
 
 class TraceError(Exception):
@@ -321,7 +323,7 @@ def field_values(kind: EventType, data: bytes, aux: dict[int, bytes]) -> dict[st
 # Spark
 
 PACKETS = "trace_id string, protocol int, packet_no long, thread_id int, is_sync boolean, is_encoded boolean, raw_size int, decoded_size int, payload binary, error string"
-EVENTS = "trace_id string, thread_id int, local_seq long, uid int, logger string, event string, serial int, scope_cycle decimal(20,0), fields string, error string"
+EVENTS = "trace_id string, thread_id int, local_seq long, uid int, logger string, event string, serial int, scope_cycle decimal(20,0), fields string, blob binary, error string"
 TYPES = "trace_id string, uid int, logger string, event string, important boolean, maybe_has_aux boolean, no_sync boolean, definition boolean, fields array<struct<name:string,offset:int,size:int,family:string,type_name:string,ref_uid:int>>"
 
 
@@ -332,24 +334,29 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
 def packets(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """One row for each packet of each capture; in PERMISSIVE mode a capture ends with a row that has its error."""
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.string())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for trace, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, protocol, failure = [], None, None
+                rows, protocol, failure, held = [], None, None, 0
                 try:
                     data = content.as_py()
                     header = read_header(data)
                     protocol = header.protocol
                     for p in read_packets(data, header.offset):
                         rows.append((trace, protocol, *p, None))
+                        held += len(p[-1])
+                        if held >= BATCH_BYTES:
+                            yield as_batch(rows, kinds, PACKETS)
+                            rows, held = [], 0
                 except TraceError as e:
                     if mode == "FAILFAST":
                         raise
                     failure = str(e)
                 if failure:
                     rows.append((trace, protocol, None, None, None, None, None, None, None, failure))
-                yield as_batch(rows, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.string()), PACKETS)
+                yield as_batch(rows, kinds, PACKETS)
 
     return files.mapInArrow(scan, PACKETS)
 
@@ -410,11 +417,12 @@ def event_types(p: DataFrame) -> DataFrame:
 def raw_events(p: DataFrame, types: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Events of every thread in its own order, with decoded ``fields`` as JSON.
 
-    Framing needs the thread's bytes in order, so a thread is one task; the registry comes along by a join.
+    Framing needs the thread's bytes in order, so a thread is one task; the registry comes along by a join. The array of
+    a batch event, most of a capture's bytes, comes as ``blob`` and not as hexadecimal among the fields.
     """
     registry = types.groupBy("trace_id").agg(F.to_json(F.collect_list(F.struct(*(c for c in types.columns if c != "trace_id")))).alias("registry"))
     streams = p.where("error is null and not is_sync").join(registry, "trace_id", "left")
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.decimal128(20, 0), pa.string(), pa.string())
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.decimal128(20, 0), pa.string(), pa.binary(), pa.string())
 
     def frame(table: pa.Table) -> pa.Table:
         trace, thread, protocol = (table[c][0].as_py() for c in ("trace_id", "thread_id", "protocol"))
@@ -424,12 +432,14 @@ def raw_events(p: DataFrame, types: DataFrame, mode: str = "FAILFAST") -> DataFr
             if protocol >= 5:
                 for e in thread_events(thread, stream, known):
                     kind = known.get(e.uid)
+                    is_batch = kind is not None and kind.event.startswith("EventBatch") and kind.logger == "CpuProfiler" and e.aux
+                    blob = e.aux.pop(max(e.aux)) if is_batch else None
                     values = json.dumps(field_values(kind, e.data, e.aux)) if kind else None
-                    rows.append((trace, thread, e.local_seq, e.uid, kind and kind.logger, kind and kind.event, e.serial, e.scope_cycle, values, None))
+                    rows.append((trace, thread, e.local_seq, e.uid, kind and kind.logger, kind and kind.event, e.serial, e.scope_cycle, values, blob, None))
         except TraceError as error:
             if mode == "FAILFAST":
                 raise
-            rows.append((trace, thread, len(rows), None, None, None, None, None, None, str(error)))
+            rows.append((trace, thread, len(rows), None, None, None, None, None, None, None, str(error)))
         return pa.Table.from_batches([as_batch(rows, kinds, EVENTS.replace("(20,0)", ""))])
 
     return streams.groupBy("trace_id", "thread_id").applyInArrow(frame, EVENTS)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cycles of one second where a capture does not give its frequency, and seconds that a scope can last.
@@ -263,10 +264,51 @@ def cpu_intervals(batches: DataFrame, base: int = 0, frequency: int | None = Non
     return batches.groupBy("trace_id", "thread_id").applyInArrow(decode, INTERVALS)
 
 
+TOTALS = "trace_id string, thread_id int, spec_id long, count long, total_cycles decimal(38,0)"
+
+
+def cpu_totals(batches: DataFrame, base: int = 0, frequency: int | None = None) -> DataFrame:
+    """Closed scopes that are not metadata and their cycles, for each thread and spec of rows as ``cpu_intervals`` takes.
+
+    Summed up where they are decoded, so that a thread sends a row for each spec and not for each scope.
+    """
+
+    def decode(table: pa.Table) -> pa.Table:
+        trace, thread = table["trace_id"][0].as_py(), table["thread_id"][0].as_py()
+        own_base = (table["base"][0].as_py() or 0) if "base" in table.column_names else base
+        own_frequency = table["frequency"][0].as_py() if "frequency" in table.column_names else frequency
+        data = b"".join(d for d in table.sort_by("local_seq")["data"].to_pylist() if d is not None)
+        found = None if own_base else plain_scopes(data, own_frequency)
+        if found is None:
+            rows = list(CpuThread(own_base, own_frequency).decode(data))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            spec, is_metadata, _, end, duration = (np.array(c, np.int64) for c in columns)
+            is_metadata = is_metadata.astype(bool)
+        else:
+            spec, is_metadata, _, end, duration = found
+        kept = (end >= 0) & ~is_metadata
+        specs, place = np.unique(spec[kept], return_inverse=True)
+        counts, low, high = np.bincount(place, minlength=len(specs)), np.zeros(len(specs), np.int64), np.zeros(len(specs), np.int64)
+        np.add.at(low, place, duration[kept] & 0xFFFFFFFF)  # in two halves, so that no sum runs over
+        np.add.at(high, place, duration[kept] >> 32)
+        sums = [Decimal(int(a) + (int(b) << 32)) for a, b in zip(low, high, strict=True)]
+        n = len(specs)
+        columns = [pa.repeat(pa.scalar(trace, pa.string()), n), pa.repeat(pa.scalar(thread, pa.int32()), n), pa.array(specs), pa.array(counts.astype(np.int64)), pa.array(sums, pa.decimal128(38, 0))]
+        return pa.table(columns, names=[p.split()[0] for p in TOTALS.split(", ")])
+
+    return batches.groupBy("trace_id", "thread_id").applyInArrow(decode, TOTALS)
+
+
+def _data(events: DataFrame) -> Column:
+    """A batch's bytes: by themselves, or as hexadecimal among its fields."""
+    fields = F.unhex(F.get_json_object("fields", "$.Data"))
+    return F.coalesce(F.col("blob"), fields) if "blob" in events.columns else fields
+
+
 def batches_of(events: DataFrame) -> DataFrame:
     """``trace_id, thread_id, local_seq, data`` of the CPU batch events among decoded events."""
     rows = events.where((F.col("logger") == "CpuProfiler") & F.col("event").startswith("EventBatch"))
-    return rows.select("trace_id", "thread_id", "local_seq", F.unhex(F.get_json_object("fields", "$.Data")).alias("data"))
+    return rows.select("trace_id", "thread_id", "local_seq", _data(events).alias("data"))
 
 
 def batches_in_context(events: DataFrame, origin: DataFrame | None = None) -> DataFrame:
@@ -276,7 +318,7 @@ def batches_in_context(events: DataFrame, origin: DataFrame | None = None) -> Da
     """
     is_batch = (F.col("logger") == "CpuProfiler") & F.col("event").startswith("EventBatch")
     rows = events.where(is_batch | (F.col("logger") == "MetadataStack")).select(
-        "trace_id", "thread_id", "local_seq", F.when(is_batch, F.unhex(F.get_json_object("fields", "$.Data"))).alias("data"), F.when(~is_batch, F.col("event")).alias("kind"),
+        "trace_id", "thread_id", "local_seq", F.when(is_batch, _data(events)).alias("data"), F.when(~is_batch, F.col("event")).alias("kind"),
         F.get_json_object("fields", "$.Id").try_cast("long").alias("ident"), F.col("seq").alias("batch"),
     )
     return rows if origin is None else rows.join(origin, "trace_id", "left")
