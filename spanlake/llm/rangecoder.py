@@ -1,12 +1,16 @@
 """A token id file format: adaptive context mixing and a range coder, in blocks that stand alone.
 
-Each id is coded in one step from a mixture of three predictions. The order-2 and order-1 models each name the id that
-last followed the same two ids or one id, trusted as far as it has been right at that many hits in a row; order 0 is
-the frequency of every id in the block so far, renewed as the block doubles. The shares of the three adapt block by
-block from nothing, so a block needs no other block.
+Each id is coded in one step from three predictions. The order-2 and order-1 models keep, for the last two ids and for
+the last one, the ids that followed with their frequencies, four of each context, the frequent ones. Their frequencies
+are mixed: each order has the share of the code space that it has earned, among contexts that were seen as often, by
+the part it had in coding what came; shares start at what the counts suggest and adapt id by id. What both orders know
+is the sum of both. What no context knows is coded by order 0, the frequencies of the ids that the block has had, which
+are renewed as the block grows by RENEW; ids that it has not had share what that is worth, which adapts too. A block
+starts from nothing, so it needs no other block.
 
 A block is a header (magic, number of ids, bytes of code, CRC-32 of the ids) and the code. Many blocks are coded in
-lockstep, one array lane each, so the work per id is a few array operations for all lanes.
+lockstep, one array lane each, so the work per id is some array operations for all lanes; how many there are changes
+nothing in a block.
 """
 
 from __future__ import annotations
@@ -16,123 +20,186 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SLT1"
+MAGIC = b"SLT2"
 HEADER = struct.Struct("<4sIII")
 #: Ids in one block.
 BLOCK = 8192
-#: Blocks coded in lockstep; with the vocabulary it bounds memory.
-LANES = 384
-#: Positions in a block at which the order-0 frequencies are renewed.
-RENEW = (256, 1024, 4096)
-#: Bits of the probabilities, slots of a context table, longest run of hits that counts.
-BITS, SLOTS, RUN = 28, 4096, 7
-ORDER0_BITS = 17
-#: Of 4096: the least share that a model leaves to others. Twice that leaves order 0 more than its total.
-LEAST = 128
+#: Blocks coded in lockstep at most; it bounds memory.
+LANES = 512
+#: Growth of a block after which order 0 is renewed.
+RENEW = 1.4
+#: Contexts of a lane in order 2 and order 1, ids kept of a context (the code counts on four), and the largest count.
+SLOTS, WAYS, LIMIT = (1 << 12, 1 << 11), 4, 250
+#: Bits of the probabilities, of the shares, and of their rate of change.
+BITS, SHARE_BITS, RATE = 28, 16, 5
+#: The most that contexts have of the code space, so that order 0 has at least a part of it for each id.
+MOST = (1 << BITS) // 32 * 31
+#: Least share of a context that was seen, and the largest vocabulary, which twice fits what order 0 has at least.
+LEAST, LARGEST = 512, 1 << 22
 _WORD = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
+#: The class of a context by the sum of its counts; class 0 is one that was never seen.
+CLASSES = np.minimum(15, np.concatenate([np.arange(9), 9 + np.floor(np.log2(np.arange(9, WAYS * LIMIT + 1) / 8 + 1e-9) * 1.5)])).astype(np.int64)
 
 
 class Model:
-    """The state of all lanes; the coder asks for shares and tells each id."""
+    """The state of all lanes; the coder asks for shares and tells each id. Arrays have order 2 first, then order 1."""
 
     def __init__(self, lanes: int, vocabulary: int):
+        if not 1 <= vocabulary <= LARGEST:
+            raise ValueError(f"a vocabulary of {vocabulary}; it may have 1 to {LARGEST} ids")
         self.n, self.vocabulary = lanes, vocabulary
         self.lane = np.arange(lanes)
-        self.base = self.lane * SLOTS
-        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.run = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        # Of 4096: how often a guess after a run of so many hits was right.
-        self.right = [np.full((lanes, RUN + 1), (np.arange(RUN + 1) * 400 + 300), np.int32).ravel() for _ in range(2)]
-        self.row = self.lane * (RUN + 1)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.at = 0
-        self.width = vocabulary + 1
-        # Until the first renewal every id is as likely, and one row serves all lanes.
-        self.table: np.ndarray | None = None
-        self.flat, self.row0 = np.arange(self.width, dtype=np.uint32) * np.uint32((1 << ORDER0_BITS) // vocabulary), np.zeros(lanes, np.int64)
-        self.totals = np.full(lanes, self.flat[-1], np.uint64)
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """Guesses of order 2 and 1 and the ends of their shares in [0, 2**BITS); order 0 has the rest."""
-        self.slot = [self.base + (((self.before * 40503 + self.last * 10007) ^ (self.last >> 5)) & (SLOTS - 1)), self.base + ((self.last * 40503 ^ (self.last >> 7)) & (SLOTS - 1))]
-        self.named = [g[s] for g, s in zip(self.guess, self.slot, strict=True)]
-        runs = [r[s] for r, s in zip(self.run, self.slot, strict=True)]
-        self.spot = [self.row + r for r in runs]
-        p2, p1 = self.right[0][self.spot[0]].astype(np.uint64), self.right[1][self.spot[1]].astype(np.uint64)
-        s2 = p2 << np.uint64(BITS - 12)
-        s1 = s2 + ((np.uint64(4096) - p2) * p1 << np.uint64(BITS - 24))
-        self.runs = runs
-        return self.named[0], self.named[1], s2, s1
-
-    def learn(self, ids: np.ndarray) -> None:
-        for k in (0, 1):
-            hit = self.named[k] == ids
-            right = self.right[k]
-            p = right[self.spot[k]]
-            right[self.spot[k]] = p + np.where(hit, 4096 - LEAST - p, LEAST - p) // 16
-            self.run[k][self.slot[k]] = np.where(hit, np.minimum(self.runs[k] + 1, RUN), self.runs[k] >> 2)
-            # A guess that has been right holds out against one miss.
-            self.guess[k][self.slot[k]] = np.where(hit | (self.runs[k] > 3), self.named[k], ids)
-        self.before, self.last = self.last, ids.astype(np.int64)
-        self.at += 1
+        self.base = np.stack([self.lane * SLOTS[0], lanes * SLOTS[0] + self.lane * SLOTS[1]])
+        self.mask = np.array(SLOTS)[:, None] - 1
+        self.ids = np.full(lanes * sum(SLOTS) * WAYS, -1, np.int32)
+        self.counts = np.zeros(lanes * sum(SLOTS) * WAYS, np.uint8)
+        self.ways = np.arange(WAYS)[None, :, None]
+        # Of 1 << SHARE_BITS: the share of an order in contexts of each class, and of new ids in order 0.
+        start = np.concatenate([[0], (np.arange(1, 16) << SHARE_BITS) // np.arange(3, 18)])
+        self.share = np.tile(start, 2 * lanes)
+        self.row = np.stack([self.lane * 16, (lanes + self.lane) * 16])
+        self.new = np.full(lanes, (1 << SHARE_BITS) - LEAST)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # Order 0 of all lanes: lane and id in one rising sequence, and where the counts of each begin.
+        self.had, self.at = np.zeros(1, np.int64) - 1, np.zeros(2, np.int64)
+        self.total = 0
 
     def renew(self, seen: np.ndarray) -> None:
         """Renew order 0 from the ids so far, a row for each lane."""
-        n = seen.shape[1]
-        if self.table is None:
-            self.table = np.empty((self.n, self.width), np.uint32)
-        sums = self.table
-        sums[:, 0], sums[:, 1:] = 0, 1
-        weight = max(1, (1 << ORDER0_BITS) // n)
-        np.add.at(sums.reshape(-1), (self.lane[:, None] * self.width + 1 + seen).ravel(), np.uint32(weight))
-        for k in range(self.n):  # lane by lane, in place
-            np.cumsum(sums[k], out=sums[k])
-        self.flat, self.row0 = sums.reshape(-1), self.lane * self.width
-        self.totals = sums[:, -1].astype(np.uint64)
-
-    def find(self, value: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The id whose order-0 interval holds ``value``, by bisection in all lanes at once."""
-        low, step = np.zeros(len(value), np.int64), 1 << (self.vocabulary.bit_length() - 1)
-        while step:
-            next_ = low + step
-            ok = next_ < self.width
-            ok &= self.flat[rows + np.where(ok, next_, 0)] <= value
-            low = np.where(ok, next_, low)
-            step >>= 1
-        return low
-
-
-def intervals(model: Model, ids: np.ndarray, s2: np.ndarray, s1: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of each lane's id in [0, 2**BITS)."""
-    rest = np.uint64(1 << BITS) - s1
-    at = model.row0 + ids
-    lo = s1 + rest * model.flat[at].astype(np.uint64) // model.totals
-    hi = s1 + rest * model.flat[at + 1].astype(np.uint64) // model.totals
-    by1, by2 = g1 == ids, g2 == ids
-    start = np.where(by2, np.uint64(0), np.where(by1, s2, lo))
-    return start, np.where(by2, s2, np.where(by1, s1, hi)) - start
+        keys = np.sort(((self.lane << 32)[:, None] + seen).ravel())
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        # All lanes have as many ids, so the counts before a lane are known.
+        self.had, self.at, self.total = keys[begins], np.append(begins, len(keys)), seen.shape[1]
+
+    def predict(self) -> np.ndarray:
+        """Where the code space of each candidate ends, in rows of candidates; order 0 has what lies beyond the last."""
+        l = self.last * 2654435761
+        hashed, parts = np.empty((2, self.n), np.int64), np.empty((2, self.n), np.int64)
+        hashed[0], hashed[1] = (self.before * 40503 + l) >> 7, l >> 9
+        self.slot = self.base + (hashed & self.mask)
+        cells = self.slot[:, None, :] * WAYS + self.ways
+        self.named, self.seen = self.ids[cells], self.counts[cells]
+        counts = self.seen.astype(np.int64)
+        sums = counts.sum(1)
+        self.spot = self.row + CLASSES[sums]
+        self.own = self.share[self.spot]
+        parts[0] = self.own[0] * (MOST >> SHARE_BITS)
+        parts[1] = ((MOST - parts[0]) >> SHARE_BITS) * self.own[1]
+        parts //= np.maximum(sums, 1)
+        counts *= parts[:, None, :]
+        # What both orders know goes to its place in order 2.
+        both = self.named[0][:, None, :] == self.named[1]
+        self.joint = (both * counts[1]).sum(1)
+        counts[0] += self.joint
+        counts[1] *= ~both.any(0)
+        self.mass = counts.reshape(2 * WAYS, self.n)
+        ends = self.mass.copy()
+        for k in range(1, 2 * WAYS):
+            ends[k] += ends[k - 1]
+        return ends
+
+    def learn(self, ids: np.ndarray, way: np.ndarray, hit: np.ndarray) -> None:
+        """Take the ids; ``way`` is the candidate that coded each, where ``hit``."""
+        total = self.mass[way, self.lane]
+        of_one = np.where(way < WAYS, self.joint[np.minimum(way, WAYS - 1), self.lane], total)
+        one = (of_one << SHARE_BITS) // np.maximum(total, 1) * hit
+        two = (hit.astype(np.int64) << SHARE_BITS) - one
+        left = ((1 << SHARE_BITS) - two) * self.own[1] >> SHARE_BITS
+        moved = np.empty((2, self.n), np.int64)
+        moved[0], moved[1] = two - self.own[0], one - left
+        moved >>= RATE
+        moved += self.own
+        self.share[self.spot] = np.minimum(np.maximum(moved, LEAST), (1 << SHARE_BITS) - LEAST) * (self.own > 0)
+        equal = self.named == ids.astype(np.int32)
+        known = equal.any(1)
+        # The place of the id or, of four, that of the least count.
+        first, second = self.seen[:, 1] < self.seen[:, 0], self.seen[:, 3] < self.seen[:, 2]
+        rarest = np.where(np.minimum(self.seen[:, 2], self.seen[:, 3]) < np.minimum(self.seen[:, 0], self.seen[:, 1]), second + 2, first)
+        place = np.where(known, equal[:, 1] + 2 * equal[:, 2] + 3 * equal[:, 3], rarest)
+        cell = self.slot * WAYS + place
+        now = self.counts[cell].astype(np.int64)
+        # An unknown id takes the place of a rare one; a more frequent one loses a count and stays.
+        rare = now <= 2
+        self.counts[cell] = np.where(known, np.minimum(now + 2, LIMIT), np.where(rare, 2, now - 1))
+        self.ids[cell] = np.where(known | rare, ids, self.ids[cell])
+        self.before, self.last = self.last, ids
+
+    def room(self, lanes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What new ids have of the code space behind ``ends``; at least a part for each id, and all as long as no id was had."""
+        rest = (1 << BITS) - ends
+        return np.maximum(rest * self.new[lanes] >> SHARE_BITS, self.vocabulary) if self.total else rest
+
+    def took(self, lanes: np.ndarray, known: np.ndarray) -> None:
+        """Learn whether order 0 had the ids that it coded."""
+        share = self.new[lanes]
+        share = share + (((~known).astype(np.int64) << SHARE_BITS) - share >> RATE)
+        self.new[lanes] = np.minimum(np.maximum(share, LEAST), (1 << SHARE_BITS) - LEAST)
+
+    def interval(self, ids: np.ndarray, lanes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of ids that order 0 codes, in the lanes given."""
+        room, key = self.room(lanes, ends), (lanes << 32) + ids
+        place = np.minimum(np.searchsorted(self.had, key), len(self.had) - 1)
+        known = self.had[place] == key
+        start, end = ends + room * ids // self.vocabulary, ends + room * (ids + 1) // self.vocabulary
+        if self.total:
+            rest, before = (1 << BITS) - ends - room, lanes * self.total
+            start = np.where(known, ends + room + rest * (self.at[place] - before) // self.total, start)
+            end = np.where(known, ends + room + rest * (self.at[place + 1] - before) // self.total, end)
+        self.took(lanes, known)
+        return start, end
+
+    def find(self, value: np.ndarray, lanes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose order-0 intervals hold ``value``, with the intervals: the largest whose start is at most the value."""
+        room = self.room(lanes, ends)
+        into = value - ends
+        known = into >= room
+        ids = np.minimum(((into + 1) * self.vocabulary - 1) // room, self.vocabulary - 1)
+        start, end = ends + room * ids // self.vocabulary, ends + room * (ids + 1) // self.vocabulary
+        if self.total:
+            rest, before = (1 << BITS) - ends - room, lanes * self.total
+            target = ((np.maximum(into - room, 0) + 1) * self.total - 1) // rest
+            place = np.searchsorted(self.at, before + target, "right") - 1
+            ids = np.where(known, self.had[np.minimum(place, len(self.had) - 1)] & 0xFFFFFFFF, ids)
+            start = np.where(known, ends + room + rest * (self.at[place] - before) // self.total, start)
+            end = np.where(known, ends + room + rest * (self.at[np.minimum(place + 1, len(self.at) - 1)] - before) // self.total, end)
+        self.took(lanes, known)
+        return ids, start, end
+
+
+def renewals(steps: int) -> set[int]:
+    out, at = set(), 32.0
+    while at < steps:
+        out.add(int(at))
+        at *= RENEW
+    return out
 
 
 def encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[bytes]:
     """Code of each row of ``ids`` (padded to equal length), as far as its length."""
     lanes, steps = ids.shape
-    model = Model(lanes, vocabulary)
+    model, renew = Model(lanes, vocabulary), renewals(steps)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
     out = np.zeros((lanes, steps + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
     columns = np.ascontiguousarray(ids.T)
     for i in range(steps):
-        if i in RENEW:
+        if i in renew:
             model.renew(ids[:, :i])
         now = columns[i]
-        g2, g1, s2, s1 = model.predict()
-        start, size = intervals(model, now, s2, s1, g2, g1)
+        ends = model.predict()
+        fits = (model.named.reshape(2 * WAYS, lanes) == now) & (model.mass > 0)
+        hit = fits.any(0)
+        way = fits.argmax(0)
+        end = ends[way, model.lane]
+        start = end - model.mass[way, model.lane]
+        other = np.flatnonzero(~hit)
+        if len(other):
+            start[other], end[other] = model.interval(now[other], other, ends[-1, other])
         live = i < lengths
         unit = span >> np.uint64(BITS)
-        low = np.where(live, low + unit * start, low)
-        span = np.where(live, unit * size, span)
+        low = np.where(live, low + unit * start.astype(np.uint64), low)
+        span = np.where(live, unit * (end - start).astype(np.uint64), span)
         small = np.flatnonzero(span <= _LOW32)
         if len(small):
             l, s = low[small], span[small]
@@ -140,7 +207,7 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[
             out[small, used[small]] = (l >> _WORD).astype(np.uint32)
             used[small] += 1
             low[small], span[small] = l << _WORD, s << _WORD
-        model.learn(now)
+        model.learn(now, way, hit)
     for k in (np.uint64(32), np.uint64(0)):
         out[np.arange(lanes), used] = (low >> k & _LOW32).astype(np.uint32)
         used += 1
@@ -150,7 +217,7 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[
 def decode_lanes(codes: list[bytes], lengths: np.ndarray, vocabulary: int) -> np.ndarray:
     """The ids again, a row for each code."""
     lanes, steps = len(codes), int(lengths.max(initial=0))
-    model = Model(lanes, vocabulary)
+    model, renew = Model(lanes, vocabulary), renewals(steps)
     width = max(len(c) for c in codes) // 4 + 1
     words = np.zeros((lanes, width), np.uint64)
     for k, code in enumerate(codes):
@@ -158,28 +225,27 @@ def decode_lanes(codes: list[bytes], lengths: np.ndarray, vocabulary: int) -> np
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
     code = words[:, 0] << _WORD | words[:, 1]
     used = np.full(lanes, 2)
-    ids = np.zeros((lanes, steps), np.int64)
     columns = np.zeros((steps, lanes), np.int64)
-    full = np.uint64((1 << BITS) - 1)
+    full = (1 << BITS) - 1
     for i in range(steps):
-        if i in RENEW:
-            ids[:, :i] = columns[:i].T
-            model.renew(ids[:, :i])
-        g2, g1, s2, s1 = model.predict()
+        if i in renew:
+            model.renew(columns[:i].T)
+        ends = model.predict()
         unit = span >> np.uint64(BITS)
-        value = np.minimum((code - low) // unit, full)
-        now = np.where(value < s2, g2, g1).astype(np.int64)
-        other = np.flatnonzero(value >= s1)
-        if len(other):
-            rest = np.uint64(1 << BITS) - s1[other]
-            total = model.totals[other]
-            # The largest order-0 value whose scaled start is at most the value.
-            target = ((value[other] - s1[other] + np.uint64(1)) * total - np.uint64(1)) // rest
-            now[other] = model.find(target, model.row0[other])
-        start, size = intervals(model, now, s2, s1, g2, g1)
+        value = np.minimum((code - low) // unit, np.uint64(full)).astype(np.int64)
+        way = (ends <= value).sum(0)
+        hit = way < 2 * WAYS
+        way = np.where(hit, way, 0)
+        now = model.named[way // WAYS, way % WAYS, model.lane].astype(np.int64)
+        end = ends[way, model.lane]
+        start = end - model.mass[way, model.lane]
+        other = np.flatnonzero(~hit)
         live = i < lengths
-        low = np.where(live, low + unit * start, low)
-        span = np.where(live, unit * size, span)
+        if len(other):
+            # A lane that has ended reads what comes after its code; any id will do there.
+            now[other], start[other], end[other] = model.find(value[other], other, ends[-1, other])
+        low = np.where(live, low + unit * start.astype(np.uint64), low)
+        span = np.where(live, unit * (end - start).astype(np.uint64), span)
         small = np.flatnonzero(span <= _LOW32)
         if len(small):
             l, s = low[small], span[small]
@@ -187,16 +253,19 @@ def decode_lanes(codes: list[bytes], lengths: np.ndarray, vocabulary: int) -> np
             code[small] = code[small] << _WORD | words[small, np.minimum(used[small], width - 1)]
             used[small] += 1
             low[small], span[small] = l << _WORD, s << _WORD
-        columns[i] = np.where(live, now, 0)
-        model.learn(columns[i])
+        now = np.clip(np.where(live, now, 0), 0, vocabulary - 1)
+        columns[i] = now
+        model.learn(now, way, hit)
     return columns.T
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
     """``ids`` as blocks of the file format, in order."""
-    out = []
-    for at in range(0, len(ids), block * LANES):
-        part = ids[at : at + block * LANES]
+    if len(ids) and int(ids.max()) >= vocabulary:
+        raise ValueError(f"id {int(ids.max())} lies beyond the vocabulary of {vocabulary}")
+    out, group = [], block * LANES
+    for at in range(0, len(ids), group):
+        part = ids[at : at + group]
         n = -(-len(part) // block)
         lengths = np.full(n, block)
         lengths[-1] = len(part) - (n - 1) * block
@@ -211,9 +280,9 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[
 
 def decode_blocks(blocks: list[bytes], vocabulary: int) -> np.ndarray:
     """The ids of blocks in order; fails if a block is damaged."""
-    out = []
-    for at in range(0, len(blocks), LANES):
-        part = blocks[at : at + LANES]
+    out, lanes = [], LANES
+    for at in range(0, len(blocks), lanes):
+        part = blocks[at : at + lanes]
         heads = [HEADER.unpack_from(b) for b in part]
         if any(h[0] != MAGIC or HEADER.size + h[2] != len(b) for h, b in zip(heads, part, strict=True)):
             raise ValueError("not a block of token ids")

@@ -1,14 +1,16 @@
 """Token ids of a corpus in files of the range coder's blocks, and back.
 
-Documents are dealt to parts by ranges of their ids, so the parts' order is the corpus's. A part's table holds the
-documents' lengths (kind 0) and then its blocks (kind 1), each a self-contained unit of ``rangecoder``; the ids run
-through the blocks without regard to documents. Ids are coded and decoded a group of blocks at a time, so memory
-does not grow with a part or a document's neighbours.
+Documents are dealt to parts by ranges of their ids, so the parts' order is the corpus's; there are as many parts as
+the text needs, up to MOST_PARTS, beyond which parts grow. A part is a run of groups: a group's rows are the lengths of
+the documents that begin in it (kind 0) and then its blocks (kind 1), each a self-contained unit of ``rangecoder``; the
+ids run through the blocks without regard to documents. Ids are coded and decoded group by group, so memory does not
+grow with a part.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,10 @@ from . import rangecoder
 from .common import new_path
 from .tokens import whole_texts
 
-#: Bytes of text in a part, about.
-PART_BYTES = 20 << 20
+#: Bytes of text in a part, about, and the most parts.
+PART_BYTES, MOST_PARTS = 10 << 20, 20_000
 END_ID = 0
-SCHEMA = "part int, kind int, seq long, doc_id long, n_tokens long, code binary"
-GROUP = rangecoder.BLOCK * rangecoder.LANES
+SCHEMA = "part int, grp int, kind int, seq long, doc_id long, n_tokens long, code binary"
 
 
 def vocabulary_size(tokenizer: str) -> int:
@@ -34,25 +35,22 @@ def vocabulary_size(tokenizer: str) -> int:
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> int:
     """Write the ids of every row's whole text (null as empty) and ``end_id``, in ascending doc_id, nulls first.
 
-    Rows of one id follow each other in the order of their texts' hashes. Returns the number of parts.
+    Rows of one id follow each other in the order of their texts' hashes; other columns are ignored. An empty table
+    gives files without rows. Fails if the vocabulary is larger than the coder takes. Returns the number of parts.
     """
     vocabulary = vocabulary_size(tokenizer)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // PART_BYTES))
+    parts = max(1, min(MOST_PARTS, -(-total // PART_BYTES)))
     dealt = base.repartitionByRange(parts, "doc_id").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = whole_texts(tokenizer, "byte")
-        part, n_docs, n_blocks = None, 0, 0
+        words, group = whole_texts(tokenizer, "byte"), rangecoder.BLOCK * rangecoder.LANES
+        part, grp, n_docs, held = None, 0, 0, 0
         waiting: list[np.ndarray] = []
-        held = 0
 
         def blocks(ids: np.ndarray) -> pa.RecordBatch:
-            nonlocal n_blocks
-            codes = rangecoder.encode_blocks(ids, vocabulary)
-            n, n_blocks = n_blocks, n_blocks + len(codes)
-            return as_batch([(part, 1, n + i, None, None, c) for i, c in enumerate(codes)])
+            return as_batch([(part, grp, 1, i, None, None, c) for i, c in enumerate(rangecoder.encode_blocks(ids, vocabulary))])
 
         for batch in batches:
             if not batch.num_rows:
@@ -61,14 +59,15 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str
             index = []
             for key, ids in zip(batch.column(0).to_pylist(), words.encode([t.as_py() for t in batch.column(1)]), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
-                index.append((part, 0, n_docs, key, len(ids), None))
+                index.append((part, grp, 0, n_docs, key, len(ids), None))
                 n_docs += 1
                 waiting.append(ids)
                 held += len(ids)
-                while held >= GROUP:
+                while held >= group:
                     joined = np.concatenate(waiting)
-                    yield blocks(joined[:GROUP])
-                    waiting, held = [joined[GROUP:]], held - GROUP
+                    yield as_batch(index)
+                    yield blocks(joined[:group])
+                    index, waiting, held, grp = [], [joined[group:]], held - group, grp + 1
             yield as_batch(index)
         if held:
             yield blocks(np.concatenate(waiting))
@@ -78,9 +77,9 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "kind", "seq", "doc_id", "n_tokens", "code"])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "grp", "kind", "seq", "doc_id", "n_tokens", "code"])
 
 
 def read_token_files(spark: SparkSession, path: str, parts: int, *, tokenizer: str, with_ids: bool = False) -> DataFrame:
@@ -92,46 +91,46 @@ def read_token_files(spark: SparkSession, path: str, parts: int, *, tokenizer: s
     files = spark.read.schema(SCHEMA).parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: int | None = None
-        index: list[tuple[int, int | None, int]] = []
+        at: tuple[int, int] | None = None  # part and group
+        index: deque[tuple[int | None, int]] = deque()
         codes: list[bytes] = []
-        ids = np.zeros(0, "<u4")
-        at = done = 0
+        ids, done = np.zeros(0, "<u4"), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, at, done, codes
-            ids = np.concatenate([ids, rangecoder.decode_blocks(codes, vocabulary)])
-            codes = []
+            """Decode a group and give out the documents that are whole."""
+            nonlocal ids, done, codes
+            ids, codes = np.concatenate([ids, rangecoder.decode_blocks(codes, vocabulary)]), []
             out, used = [], 0
-            while at < len(index) and used + index[at][2] <= len(ids):
-                _, key, n = index[at]
+            while index and used + index[0][1] <= len(ids):
+                key, n = index.popleft()
                 own = ids[used : used + n].tobytes()
-                out.append((part, key, done, n, zlib.crc32(own), own if with_ids else None))
-                used, at, done = used + n, at + 1, done + n
+                out.append((at[0], key, done, n, zlib.crc32(own), own if with_ids else None))
+                used, done = used + n, done + n
             ids = ids[used:]
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            yield from flush()
-            if at < len(index) or len(ids):
-                raise ValueError("the blocks do not hold the documents' ids")
-
         for batch in batches:
-            for p, kind, key, n, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
-                if p != part:
-                    yield from finish()
-                    part, index, ids, at, done = p, [], np.zeros(0, "<u4"), 0, 0
+            for p, g, kind, key, n, code in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), batch.column(6), strict=True):
+                if (p, g) != at:
+                    if at is not None:
+                        yield from flush()
+                    if at is None or p != at[0]:
+                        if index or len(ids):
+                            raise ValueError("the blocks do not hold the documents' ids")
+                        done = 0
+                    at = p, g
                 if kind:
                     codes.append(code.as_py())
-                    if len(codes) == rangecoder.LANES:
-                        yield from flush()
                 else:
-                    index.append((part, key, n))
-        yield from finish()
+                    index.append((key, n))
+        if at is not None:
+            yield from flush()
+        if index or len(ids):
+            raise ValueError("the blocks do not hold the documents' ids")
 
-    rows = files.repartitionByRange(parts, "part").sortWithinPartitions("part", "kind", "seq").mapInArrow(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    rows = files.repartitionByRange(parts, "part").sortWithinPartitions("part", "grp", "kind", "seq").mapInArrow(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     lengths = files.where("kind = 0").groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = lengths.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

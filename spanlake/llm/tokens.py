@@ -27,6 +27,8 @@ SIMPLE = re.compile(f"[{_LETTERS}0-9{_MARKS} \t\n\r]*")
 # The word vocabulary's published pattern, for the characters of simple texts.
 _PARTS = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"
 PARTS, PART = re.compile(_PARTS), re.compile(f"(?:{_PARTS})")
+# The byte vocabulary's published pattern, for the same characters.
+BYTE_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 
 
 class WholeTexts:
@@ -45,7 +47,10 @@ class WholeTexts:
         raise NotImplementedError
 
     def encode_new(self, chunks: list[str]) -> dict[str, bytes]:
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True)}
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = (4 * np.cumsum([len(i) for i in ids], dtype=np.int64)).tolist()
+        return {c: data[a:b] for c, a, b in zip(chunks, [0, *ends], ends, strict=False)}
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text in turn; null counts as empty. Chunks new to the memo are encoded together."""
@@ -92,7 +97,10 @@ class ByteTexts(WholeTexts):
         import public_tokenizers
         import regex
 
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.any_text = regex.compile(public_tokenizers.PATTERN).findall
+
+    def cut(self, text: str) -> list[str]:
+        return BYTE_PARTS.findall(text) if SIMPLE.fullmatch(text) else self.any_text(text)
 
 
 class WordTexts(WholeTexts):
