@@ -149,7 +149,7 @@ def test_range_coder_round_trip(ids):
         assert rangecoder.decode_blocks(blocks[k : k + 1], 50257).tolist() == ids[4096 * k : 4096 * (k + 1)]
     if len(ids) > 1000:
         damaged = bytearray(blocks[0])
-        damaged[20] ^= 1  # a block's last bytes may not matter to its ids
+        damaged[19] ^= 0x40  # lower bits of the code may have room to move within the same ids
         with pytest.raises(ValueError):
             rangecoder.decode_blocks([bytes(damaged)], 50257)
 
