@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     logarithm of a component's diameter. Loops and repeated edges are harmless; no edges give an empty table.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    current = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    labels = current
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("of"), F.col("root").alias("further"))
         moved = stored(met.join(jump, met["root"] == jump["of"], "left").select("node", "old", F.least("root", "further").alias("root")), "labels")
-        labels = moved.select("node", "root")
+        release(current)
+        current, labels = moved, moved.select("node", "root")
         if not moved.where("old <> root").head(1):
+            release(both)
             return labels

@@ -7,12 +7,15 @@ is joined recursively: pivots are taken far from each other, every set goes to t
 pivot, sets too far from all pivots to one more cell, and the triangle inequality says which boundary sets other cells
 need. A pivot has met every set of its region, so it leaves; a cell whose sets are all connected is done.
 
-Links join components, so a region yields a spanning forest of its links, never all pairs.
+Links join components, so a region yields a spanning forest of its links, never all pairs. The regions themselves are
+formed by shared shingles, not by pivots: unrelated texts are all at distance 1, where the triangle inequality says
+nothing, so pivots part only what shares shingles already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import release, sliced, stored
 from .components import connected_components
 from .hashing import shingle_set
 
@@ -33,8 +36,8 @@ SHARED = 10
 #: Sets beyond FAR of every pivot form a cell of their own.
 FAR = 3 * RADIUS
 PIVOTS = 8
-#: Sets of one region that are joined in one place; larger regions are joined block by block.
-REGION_LIMIT = 20_000
+#: Sets of one region that are joined in one place, and bytes of them; larger regions are joined block by block.
+REGION_LIMIT, REGION_BYTES = 20_000, 64 << 20
 #: Keys of 32 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sets in all cells together, as a multiple of the sets, beyond which a region is not split.
@@ -56,23 +59,34 @@ def row_hash(text: str) -> Column:
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, row_hash, n, set_key, prefix`` of every row: size, hash and first shingles of its set."""
+    """``doc_id, row_hash, n, set_key, check, prefix`` of every row: size, two hashes and first shingles of its set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, checks, prefixes = [], [], [], []
             for value in batch.column(2):
                 s = shingle_set((value.as_py() or "").encode("utf-8", "surrogatepass"), WORDS)
                 sizes.append(len(s))
-                keys.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                digest = blake2b(s.tobytes(), digest_size=16).digest()
+                keys.append(int.from_bytes(digest[:8], "little", signed=True))
+                checks.append(int.from_bytes(digest[8:], "little", signed=True))
                 prefixes.append(s[: prefix_length(len(s))].view(np.int64))
             offsets = np.zeros(len(prefixes) + 1, np.int32)
             np.cumsum([len(p) for p in prefixes], out=offsets[1:])
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), flat], names=["doc_id", "row_hash", "n", "set_key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), flat], names=["doc_id", "row_hash", "n", "set_key", "check", "prefix"])
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(text).alias("row_hash"), F.col(text).alias("text"))
-    return base.mapInArrow(scan, "doc_id long, row_hash long, n long, set_key long, prefix array<long>")
+    return base.mapInArrow(scan, "doc_id long, row_hash long, n long, set_key long, check long, prefix array<long>")
+
+
+def told_apart(base: DataFrame) -> DataFrame:
+    """``base`` with a ``set_key`` that different sets do not share: where two do, by their other hash, one gets a new key."""
+    shared = base.groupBy("set_key").agg(F.min("check").alias("_lo"), F.max("check").alias("_hi")).where("_lo < _hi").select("set_key", "_lo")
+    if not shared.head(1):
+        return base
+    moved = base.join(shared, "set_key", "left")  # some pairs of sets in 2**64
+    return moved.withColumn("set_key", F.when(F.col("check") != F.col("_lo"), F.xxhash64("set_key", "check")).otherwise(F.col("set_key"))).select(*base.columns)
 
 
 class Sets:
@@ -187,20 +201,19 @@ def unit_links(units: DataFrame) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit", "set_key").mapInArrow(scan, "a long, b long")
 
 
-def region_links(members: DataFrame, sets: DataFrame, region_limit: int) -> DataFrame:
-    """All links that join components within regions of ``region, set_key``.
+def region_links(members: DataFrame, sets: DataFrame, region_limit: int) -> list[DataFrame]:
+    """Stored tables of all links that join components within regions of ``region, set_key, n``.
 
-    A region of more than ``region_limit`` sets is dealt to blocks. Each block is joined by itself; where that leaves
-    several components, every two blocks are joined too, with what is connected already taken as known.
+    A region of more than ``region_limit`` sets or REGION_BYTES is dealt to blocks. Each block is joined by itself; where
+    that leaves several components, every two blocks are joined too, with what is connected already taken as known.
     """
-    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / region_limit).cast("int")
-    dealt = members.join(sizes, "region").select("region", "set_key", blocks.alias("blocks"), F.pmod(F.xxhash64("set_key"), blocks).cast("int").alias("block"))
+    sizes = members.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / region_limit), F.ceil(F.sum("n") * 8 / REGION_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "region").select("region", "set_key", "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block"))
     no_label = F.lit(None).cast("long").alias("label")
     alone = stored(unit_links(dealt.join(sets, "set_key").select(F.concat_ws("/", "region", "block").alias("unit"), "set_key", no_label, "shingles")), "set-links")
     large = dealt.where("blocks > 1")
     if not large.head(1):
-        return alone
+        return [alone]
     roots = connected_components(alone).withColumnRenamed("node", "set_key")
     known = large.join(roots, "set_key", "left").withColumn("label", F.coalesce("root", "set_key"))
     parted = known.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
@@ -208,7 +221,7 @@ def region_links(members: DataFrame, sets: DataFrame, region_limit: int) -> Data
     pairs = known.join(parted, "region").select("region", "set_key", "label", "block", other.alias("other"))
     unit = F.concat_ws("/", "region", F.least("block", "other"), F.greatest("block", "other")).alias("unit")
     across = unit_links(pairs.select(unit, "set_key", "label").join(sets, "set_key").select("unit", "set_key", "label", "shingles"))
-    return alone.unionByName(stored(across, "set-links"))
+    return [alone, stored(across, "set-links")]
 
 
 def full_sets(rows: DataFrame) -> DataFrame:
@@ -230,7 +243,7 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     and copies share a component. ``is_first`` marks the row that stands for its component (for repeated rows of one
     id and text, all of them). An empty table stays empty; other columns are ignored.
     """
-    base = stored(document_sets(docs, doc_id, text), "shingle-sets")
+    base = told_apart(stored(document_sets(docs, doc_id, text), "shingle-sets"))
     rows = base.where("n > 0").select(F.explode("prefix").alias("shingle"), "set_key")
     shared = rows.groupBy("shingle").agg(F.min("set_key").alias("region"), F.max("set_key").alias("other"), F.count("*").alias("held")).where("region < other").select("shingle", "region", "held")
     held = rows.join(shared, "shingle").distinct()
@@ -239,14 +252,16 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     # In the order of all shingles from rare to frequent, partners meet before the last need - 1 shared ones.
     ranked = held.withColumns({"rank": F.row_number().over(per_set.orderBy("held", "shingle")), "shared": F.count("*").over(per_set)}).join(sizes, "set_key")
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARED))
-    alive = stored(ranked.where(F.col("rank") <= F.col("shared") - need + 1).groupBy("set_key").agg(F.first("row").alias("row"), F.collect_set("region").alias("regions")), "sets-with-partners")
+    alive = stored(ranked.where(F.col("rank") <= F.col("shared") - need + 1).groupBy("set_key").agg(F.first("row").alias("row"), F.first("n").alias("n"), F.collect_set("region").alias("regions")), "sets-with-partners")
     wanted = alive.select("set_key", F.coalesce("row.doc_id", F.lit(0)).alias("k"), F.col("row.doc_id").isNull().alias("z"), F.col("row.row_hash").alias("row_hash"))
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k"), F.col(doc_id).isNull().alias("z"), row_hash(text).alias("row_hash"), F.col(text).alias("text"))
     if alive.count() <= BROADCAST_ROWS:  # so many keys are known to be small; texts then stay where they are
         wanted = F.broadcast(wanted)
     sets = stored(full_sets(texts.join(wanted, ["k", "z", "row_hash"])).dropDuplicates(["set_key"]), "full-sets")
-    members = alive.select("set_key", F.explode("regions").alias("region"))
-    roots = connected_components(region_links(members, sets, region_limit))
+    members = alive.select("set_key", "n", F.explode("regions").alias("region"))
+    links = region_links(members, sets, region_limit)
+    roots = connected_components(reduce(DataFrame.unionByName, links))
+    release(alive, sets, *links)
     known = base.where("n > 0").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("doc_id", "row_hash", "n", F.coalesce("root", "set_key").alias("root"))
     first = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("row_hash"))).alias("first"))
     out = known.join(first, "root").select(
