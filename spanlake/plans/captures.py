@@ -425,6 +425,16 @@ def capture_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("trace_id", F.get_json_object("fields", "$.TaskId").cast("long").alias("event_id"), "seq")
 
 
+@query("capture_gap_samples", f"""WITH {C_SQL}, r AS (SELECT trace_id, event_type, row_number() OVER (PARTITION BY trace_id ORDER BY event_id) AS n FROM c), p AS (SELECT trace_id, n, lag(n) OVER (PARTITION BY trace_id ORDER BY n) AS b FROM r WHERE event_type <> 'error'),
+    g AS (SELECT trace_id, (b + 1 + 16777000) % 16777216 AS after_serial, n - b - 1 AS missing, row_number() OVER (PARTITION BY trace_id ORDER BY n) AS rank, count(*) OVER (PARTITION BY trace_id) AS total FROM p WHERE n - b > 1) SELECT *, total > 64 AS truncated FROM g WHERE rank <= 64""")
+def capture_gap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps where the events of one type are lost after they had taken their serials."""
+    rows = emitted(base(spark, sf_dir), "TaskTrace.Created", "true", Timestamp="if(event_type = 'error', 0, cycle)", TaskId="event_id")
+    packets = written(capture.packets(content([rows])), "packets")
+    found = capture.raw_events(packets, capture.event_types(packets))
+    return dashboard.gap_samples(found.where("event = 'Created' and get_json_object(fields, '$.Timestamp') <> '0'"))
+
+
 @query("capture_prologue", f"WITH {C_SQL} SELECT trace_id, 0 AS start_cycle, 1000000 AS frequency, 21069 AS endian, 8 AS pointer_size FROM tr")
 def capture_prologue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.prologue(decoded(spark, sf_dir, "scopes"))

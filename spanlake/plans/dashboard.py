@@ -1,5 +1,7 @@
 """The dashboard: one DataFrame for each family of results over the decoded events of captures.
 
+A family that shows its first rows alone also tells how many there are, as ``total``, and whether it is ``truncated``.
+
 ``events`` are rows of ``sources.capture.raw_events`` with a dispatch order ``seq``. Every provider filters its own
 event types and binds operators to their fields, so a provider reads only what it needs; families are lazy.
 """
@@ -19,7 +21,7 @@ from ..sources import cpu
 # How many rows each family shows.
 CAPS = {
     "frames": 120, "timeline": 500, "counter_points": 40, "hot_stats": 64, "csv_samples": 40, "files": 64, "file_samples": 40, "log_categories": 50, "log_messages": 50, "memory_tags": 4096, "packages": 80, "io_samples": 40, "breadcrumbs": 40,
-    "frame_breadcrumbs": 8, "frame_scopes": 5, "named_tasks": 64, "wait_samples": 40, "unmodeled": 80, "bookmark_callstacks": 8, "callstacks": 4096, "latency_pairs": 64, "metadata_names": 40, "metadata_specs": 40, "metadata_strings": 40, "spec_strings": 8,
+    "frame_breadcrumbs": 8, "frame_scopes": 5, "named_tasks": 64, "wait_samples": 40, "unmodeled": 80, "bookmark_callstacks": 8, "callstacks": 4096, "latency_pairs": 64, "serial_gaps": 64, "metadata_names": 40, "metadata_specs": 40, "metadata_strings": 40, "spec_strings": 8,
 }
 # Names of the trace model, the handle of a failed open, and the most values of one event.
 LOGGERS = "$Trace CpuProfiler Misc Counters Stats CsvProfiler TaskTrace LoadTime IoStore PlatformFile Memory LLM MetadataStack SlateTrace Trace GpuProfiler Logging Diagnostics".split()
@@ -64,6 +66,21 @@ def dispatched(events: DataFrame) -> DataFrame:
     return joins.serial_order(rows, "thread_id", "local_seq", "serial", joins.serial_origins(rows, TRACE, "serial"), by=TRACE)
 
 
+def gap_samples(events: DataFrame) -> DataFrame:
+    """The first gaps in each capture's serials, in their order, with how many there are."""
+    rows = events.where("uid is not null")
+    origins = joins.serial_origins(rows, TRACE, "serial")
+    gaps = joins.serial_gaps(rows, "serial", origins, TRACE).join(origins, TRACE)
+    distance = fn.serial_distance(F.col("after_serial"), F.col("origin"))
+    return summaries.capped(gaps, TRACE, CAPS["serial_gaps"], distance).drop("origin")
+
+
+def timeline_only(events: DataFrame) -> DataFrame:
+    """The events that CPU scopes and their names need; other providers' are not read."""
+    wanted = (F.col("logger") == "CpuProfiler") & (F.col("event").startswith("EventBatch") | F.col("event").isin("EventSpec", "MetadataSpec", "Metadata"))
+    return events.where(wanted | (F.col("logger") == "MetadataStack") | (F.concat_ws(".", "logger", "event") == "$Trace.NewTrace"))
+
+
 def of(events: DataFrame, logger: str, *names: str) -> DataFrame:
     return events.where((F.col("logger") == logger) & F.col("event").isin(*names))
 
@@ -108,7 +125,7 @@ def stats(e: DataFrame) -> DataFrame:
     values = summaries.running_value(ops, [*TRACE, "id"], "seq", F.col("op"), F.col("amount"))
     totals = values.groupBy(*TRACE, "id").agg(F.count("*").alias("samples"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.max_by("value", "seq").alias("latest_value"))
     named = totals.join(stat_specs(e).select(*TRACE, "id", "name", "stat_group"), [*TRACE, "id"], "left")
-    return summaries.top_k_per_group(named, TRACE, CAPS["hot_stats"], F.desc("samples"), F.col("id"))
+    return summaries.capped(named, TRACE, CAPS["hot_stats"], F.desc("samples"), F.col("id"))
 
 
 def csv_stats(e: DataFrame) -> DataFrame:
@@ -190,7 +207,7 @@ def logs(e: DataFrame) -> DataFrame:
     categories, specs, hits = _log_points(e)
     rows = specs.join(hits, [*TRACE, "point"], "left").fillna(0, ["count", "args_bytes"]).join(categories.select(*TRACE, "category_id", "category"), [*TRACE, "category_id"], "left")
     rows = rows.withColumn("sample", F.when(F.col("args").isNotNull(), decoders.render_message("format", "args"))).drop("args")
-    return summaries.top_k_per_group(rows, TRACE, CAPS["log_messages"], F.desc("count"), F.col("format"), F.col("point"))
+    return summaries.capped(rows, TRACE, CAPS["log_messages"], F.desc("count"), F.col("format"), F.col("point"))
 
 
 def _log_counts(e: DataFrame) -> DataFrame:
@@ -205,7 +222,7 @@ def log_verbosities(e: DataFrame) -> DataFrame:
 def log_categories(e: DataFrame) -> DataFrame:
     counts = _log_counts(e).groupBy(*TRACE, "category_id").agg(F.count("*").alias("message_specs"), F.sum("count").alias("messages"))
     rows = _log_points(e)[0].join(counts, [*TRACE, "category_id"], "left").fillna(0, ["message_specs", "messages"])
-    return summaries.top_k_per_group(rows, TRACE, CAPS["log_categories"], F.desc("messages"), F.desc("message_specs"), F.col("category"))
+    return summaries.capped(rows, TRACE, CAPS["log_categories"], F.desc("messages"), F.desc("message_specs"), F.col("category"))
 
 
 def log_totals(e: DataFrame) -> DataFrame:
@@ -227,7 +244,7 @@ def task_names(e: DataFrame) -> DataFrame:
     """The first non-empty name of each task, for the tasks that were launched with one first."""
     named = of(e, "TaskTrace", "Launched").select(*TRACE, "seq", text("TaskId").alias("task"), text("DebugName").alias("name")).where("name <> ''")
     first = named.groupBy(*TRACE, "task").agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq"))
-    return summaries.top_k_per_group(first, TRACE, CAPS["named_tasks"], F.col("seq")).select(*TRACE, "task", "name")
+    return summaries.capped(first, TRACE, CAPS["named_tasks"], F.col("seq")).select(*TRACE, "task", "name")
 
 
 def _waits(e: DataFrame) -> DataFrame:
@@ -321,7 +338,7 @@ def files(e: DataFrame) -> DataFrame:
     Reopened handles keep the path of the handle that they come from; paths are followed through any number of reopens
     by taking each handle's binding as of the operation, one reopen after the other.
     """
-    return summaries.top_k_per_group(_file_totals(e), TRACE, CAPS["files"], F.desc(F.col("opens") + F.col("reads") + F.col("writes")), F.desc("bytes_read"), F.col("path"))
+    return summaries.capped(_file_totals(e), TRACE, CAPS["files"], F.desc(F.col("opens") + F.col("reads") + F.col("writes")), F.desc("bytes_read"), F.col("path"))
 
 
 def _file_totals(e: DataFrame) -> DataFrame:
@@ -616,7 +633,7 @@ def gpu_frames(e: DataFrame) -> DataFrame:
 def gpu_frame_breadcrumbs(e: DataFrame) -> DataFrame:
     """The rendered breadcrumbs of each queue's frame with the most cycles."""
     totals = gpu_breadcrumb_intervals(e).where("frame is not null and rendered <> ''").groupBy(*TRACE, "queue", "frame", "rendered").agg(F.count("*").alias("count"), F.sum("duration").alias("total_cycles"))
-    return summaries.top_k_per_group(totals, [*TRACE, "queue", "frame"], CAPS["frame_breadcrumbs"], F.desc("total_cycles"), F.desc("count"), F.col("rendered"))
+    return summaries.capped(totals, [*TRACE, "queue", "frame"], CAPS["frame_breadcrumbs"], F.desc("total_cycles"), F.desc("count"), F.col("rendered"))
 
 
 def gpu_timeline(e: DataFrame, frame: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -636,7 +653,7 @@ def gpu_latency(e: DataFrame) -> DataFrame:
 def gpu_breadcrumbs(e: DataFrame) -> DataFrame:
     """Breadcrumbs by their spec with the bytes of their metadata; those with the most cycles."""
     totals = gpu_breadcrumb_intervals(e).groupBy(*TRACE, "spec", "name").agg(F.count("*").alias("count"), F.sum("duration").alias("total_cycles"), F.count_if(F.col("metadata_bytes") > 0).alias("metadata_events"), F.sum("metadata_bytes").alias("metadata_bytes"))
-    return summaries.top_k_per_group(totals, TRACE, CAPS["breadcrumbs"], F.desc("total_cycles"), F.desc("count"), F.col("spec"))
+    return summaries.capped(totals, TRACE, CAPS["breadcrumbs"], F.desc("total_cycles"), F.desc("count"), F.col("spec"))
 
 
 # Memory tags of the low-level tracker.
@@ -752,7 +769,7 @@ def metadata_totals(found: DataFrame, specs: DataFrame) -> DataFrame:
 def metadata_names(found: DataFrame) -> DataFrame:
     """Scopes and cycles of each rendered name, the ones with the most cycles."""
     totals = found.where("rendered is not null").groupBy(*TRACE, "spec_id", "rendered").agg(F.count("*").alias("count"), F.sum("duration").alias("total_cycles"))
-    return summaries.top_k_per_group(totals, TRACE, CAPS["metadata_names"], F.desc("total_cycles"), F.desc("count"), F.col("spec_id"), F.col("rendered"))
+    return summaries.capped(totals, TRACE, CAPS["metadata_names"], F.desc("total_cycles"), F.desc("count"), F.col("spec_id"), F.col("rendered"))
 
 
 def metadata_spec_summaries(e: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
@@ -767,7 +784,7 @@ def metadata_spec_summaries(e: DataFrame, found: DataFrame, records: DataFrame)
     scopes = found.groupBy(*TRACE, "spec_id").agg(F.count("*").alias("scopes"), F.sum("duration").alias("total_cycles"))
     out = of_records.join(scopes, [*TRACE, "spec_id"], "full_outer").fillna(0, ["records", "metadata_bytes", "decoded_records", "decoded_values", "decoded_bytes", "undecoded_bytes", "undecoded_records", "failed_records", "scopes", "total_cycles"])
     named = out.join(metadata_specs(e).select(*TRACE, "spec_id", "name"), [*TRACE, "spec_id"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("#"), "spec_id")))
-    return summaries.top_k_per_group(named, TRACE, CAPS["metadata_specs"], F.desc("total_cycles"), F.desc("scopes"), F.desc("records"), F.desc("metadata_bytes"), F.col("spec_id"))
+    return summaries.capped(named, TRACE, CAPS["metadata_specs"], F.desc("total_cycles"), F.desc("scopes"), F.desc("records"), F.desc("metadata_bytes"), F.col("spec_id"))
 
 
 def metadata_dashboard(e: DataFrame, intervals: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
@@ -801,7 +818,7 @@ def cpu_timeline(scopes: DataFrame, frame: int, limit: int | None = None) -> tup
 def frame_scopes(scopes: DataFrame) -> DataFrame:
     """The scopes of each frame with the most cycles; metadata scopes do not count."""
     totals = scopes.where("frame is not null and not is_metadata").groupBy(*TRACE, "frame", "spec_id").agg(F.count("*").alias("count"), F.sum("duration").alias("total_cycles"))
-    return summaries.top_k_per_group(totals, [*TRACE, "frame"], CAPS["frame_scopes"], F.desc("total_cycles"), F.col("spec_id"))
+    return summaries.capped(totals, [*TRACE, "frame"], CAPS["frame_scopes"], F.desc("total_cycles"), F.col("spec_id"))
 
 
 def frame_correlation(found: DataFrame, scopes: DataFrame, gpu: DataFrame) -> DataFrame:
@@ -818,7 +835,7 @@ def frame_breadcrumbs(tops: DataFrame) -> DataFrame:
     """A frame's breadcrumbs over its queues, from the queues' lists, without those that name frames themselves."""
     kept = tops.where(fn.frame_number(F.col("rendered")).isNull())
     totals = kept.groupBy(*TRACE, "frame", "rendered").agg(F.sum("count").alias("count"), F.sum("total_cycles").alias("total_cycles"))
-    return summaries.top_k_per_group(totals, [*TRACE, "frame"], CAPS["frame_breadcrumbs"], F.desc("total_cycles"), F.desc("count"), F.col("rendered"))
+    return summaries.capped(totals, [*TRACE, "frame"], CAPS["frame_breadcrumbs"], F.desc("total_cycles"), F.desc("count"), F.col("rendered"))
 
 
 # Types without a family of their own, and coverage.
@@ -834,7 +851,7 @@ def unmodeled(e: DataFrame) -> DataFrame:
     rows = e.where(F.col("logger").isNotNull() & ~F.col("logger").isin(*LOGGERS, "Cpu"))
     counted = summaries.inventory(rows, [*TRACE, "logger", "event"], "seq", "fields")
     totals = counted.groupBy(*TRACE).agg(F.count("*").alias("event_types"), F.sum("count").alias("observed_events"))
-    return summaries.top_k_per_group(counted, TRACE, CAPS["unmodeled"], F.desc("count"), F.col("logger"), F.col("event")).join(totals, TRACE)
+    return summaries.capped(counted, TRACE, CAPS["unmodeled"], F.desc("count"), F.col("logger"), F.col("event")).join(totals, TRACE)
 
 
 def decode_status(logger: Column, event: Column) -> Column:

@@ -99,3 +99,15 @@ def test_decoders():
     assert decoders.metadata_name("Frame %d %f", [{"kind": "unsigned", "value": 3}, {"kind": "float", "value": 2.0}]) == "Frame 3 2.0"
     assert decoders.metadata_name("no slots", []) is None and decoders.metadata_name("%d", []) is None
     assert decoders.fnv1a(b"b", decoders.fnv1a(b"a")) == decoders.fnv1a(b"ab") == 0x089C4407B545986A
+
+
+def test_messages_and_names():
+    wide = "hello world".encode("utf-16-le")
+    assert decoders.message_text("%s: %s", b"\xff" + wide) == "hello world: %s"
+    assert decoders.message_text("no slot", b"\xff" + wide) is None
+    assert decoders.message_text("%s", b"\xffplain text\x01") == "plain text" and decoders.message_text("x %d", b"") == "x %d"
+    assert decoders.split_name("Pass", "Pass %d") == ("Pass", " %d") and decoders.split_name("", "Draw(%d)") == ("Draw", "(%d)") and decoders.split_name("A", "A") == ("A", None) and decoders.split_name("", "") == ("Unknown", None)
+    number = [{"kind": "unsigned", "value": 3}]
+    assert decoders.full_name("Pass", " %d", number) == "Pass 3" and decoders.full_name("Pass", "n%d", number) == "Pass n3" and decoders.full_name("Unknown", "n%d", number) == "n3" and decoders.full_name("Pass", "%d", []) is None
+    assert decoders.field_names(bytes.fromhex("6261626163")) == ["ab", "c"]
+    assert decoders.cbor_values(bytes.fromhex("62ff61"))["failed"] == 3 and decoders.cbor_values(bytes.fromhex("3bffffffffffffffff"))["failed"] > 0
