@@ -8,6 +8,7 @@ has a fingerprint; a text without words has an empty one.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ SHINGLE = 5
 HASH_BITS = 48
 #: One in SCALE shingle hashes is kept.
 SCALE = 4
-#: Rows of one range of ids, about, and the most ranges; they set how sorting is spread, not what comes out.
-RANGE_ROWS, MAX_RANGES = 5000, 4096
+#: Rows of one range of ids, about, and the most ranges, beyond which they grow; windows over them spill. They set how
+#: sorting is spread, not what comes out.
+RANGE_ROWS, MAX_RANGES = 5000, 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,6 +57,15 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
+def place_in(bounds: list[int], key: Column) -> Column:
+    """How many of the rising ``bounds`` are at most ``key``, by halving steps; null keys count none."""
+    table, out, step = F.lit(np.array(bounds, np.int64)), F.lit(0), 1 << len(bounds).bit_length()
+    while step := step // 2:
+        reached = out + step
+        out = F.when((reached <= len(bounds)) & (F.get(table, reached - 1) <= key), reached).otherwise(out)
+    return out
+
+
 def with_next(docs: DataFrame, columns: list[str], *, key: str = "doc_id") -> DataFrame:
     """Add ``next_<c>`` for each of ``columns``: its value in the next row by ``key``; after the last comes the first.
 
@@ -64,12 +75,12 @@ def with_next(docs: DataFrame, columns: list[str], *, key: str = "doc_id") -> Da
     """
     n, least, nulls = docs.agg(F.count("*"), F.min(key), F.count_if(F.col(key).isNull())).first()
     ranges = min(MAX_RANGES, max(1, n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
+    cuts = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
     starts = sorted({least, *(cuts or [])} - {None})  # at most MAX_RANGES
-    bounds = F.array(*map(F.lit, starts)).cast("array<long>") if starts else F.array().cast("array<long>")
-    own = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(0))
     is_null = F.col(key).isNull()
-    begins = F.coalesce(F.array_contains(bounds, F.col(key)), F.lit(False))
+    docs = docs.withColumn("__range", place_in(starts, F.col(key)) if starts else F.lit(0))
+    own = F.col("__range")
+    begins = F.coalesce(F.get(F.lit(np.array(starts, np.int64)), own - 1) == F.col(key), F.lit(False)) if starts else F.lit(False)
     is_first = is_null if nulls else F.coalesce(F.col(key) == F.lit(least), F.lit(False))
     spot = lambda at, wrap, copy: F.struct(at.cast("int").alias("range"), F.lit(wrap).alias("wrap"), F.lit(copy).alias("copy"))
     own = F.when(is_null, 0).otherwise(own)
@@ -78,7 +89,7 @@ def with_next(docs: DataFrame, columns: list[str], *, key: str = "doc_id") -> Da
     spots = F.filter(F.array(spot(own, False, False), before, around), lambda s: s.isNotNull())
     spread = docs.withColumn("__spot", F.explode(spots))
     order = Window.partitionBy("__spot.range").orderBy(F.col("__spot.wrap"), F.col(key).asc_nulls_first(), F.col("__spot.copy"), F.xxhash64(*columns))
-    return spread.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("__spot.copy")).drop("__spot")
+    return spread.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("__spot.copy")).drop("__spot", "__range")
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
