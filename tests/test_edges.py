@@ -34,3 +34,16 @@ def test_numbering_is_dense_across_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
     got = joins.numbered(df, F.col("v"), partitions=5)
     assert got.where("seq <> v").count() == 0
+
+
+def test_added_columns_replace_those_of_their_names(spark):
+    df = spark.createDataFrame([("a", 1, "b", 10, "x", 5, True), ("a", 2, "e", 30, "y", 6, False)], "e string, seq long, what string, cycle long, kind string, duration long, matched boolean")
+    begin, end = F.col("what") == "b", F.col("what") == "e"
+    for paired in (pairing.pair_lifo(df, ["e"], "seq", begin, end, "cycle"), pairing.pair_overwrite(df, ["e"], "seq", begin, end, "cycle")):
+        assert len(paired.columns) == len(set(paired.columns))
+        first = paired.where("kind = 'begin'").first()
+        assert (first.duration, first.end_seq) == (20, 2)
+    again = joins.numbered(df.withColumn("seq", F.lit(7)), F.col("cycle"))
+    assert sorted(r.seq for r in again.collect()) == [0, 1] and again.columns.count("seq") == 1
+    top = summaries.top_k_per_group(df.withColumn("rank", F.lit("z")), ["e"], 1, F.col("cycle"))
+    assert [r.rank for r in top.collect()] == [1]
