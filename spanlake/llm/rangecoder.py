@@ -23,23 +23,24 @@ import numpy as np
 MAGIC = b"SLT2"
 HEADER = struct.Struct("<4sIII")
 #: Ids in one block.
-BLOCK = 8192
+BLOCK = 4096
 #: Blocks coded in lockstep at most; it bounds memory.
-LANES = 512
+LANES = 1024
 #: Growth of a block after which order 0 is renewed.
 RENEW = 1.4
 #: Contexts of a lane in order 2 and order 1, ids kept of a context (the code counts on four), and the largest count.
-SLOTS, WAYS, LIMIT = (1 << 12, 1 << 11), 4, 250
+SLOTS, WAYS, LIMIT = (1 << 10, 1 << 10), 4, 250
 #: Bits of the probabilities, of the shares, and of their rate of change.
 BITS, SHARE_BITS, RATE = 28, 16, 5
 #: The most that contexts have of the code space, so that order 0 has at least a part of it for each id.
 MOST = (1 << BITS) // 32 * 31
-#: Least share of a context that was seen, and the largest vocabulary, which twice fits what order 0 has at least.
-LEAST, LARGEST = 512, 1 << 22
+#: Least share of a context that was seen, the largest vocabulary, which twice fits what order 0 has at least, and an id
+#: beyond any.
+LEAST, LARGEST, NONE = 512, 1 << 22, (1 << 24) - 1
 _WORD = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 #: The class of a context by the sum of its counts; class 0 is one that was never seen.
-CLASSES = np.minimum(15, np.concatenate([np.arange(9), 9 + np.floor(np.log2(np.arange(9, WAYS * LIMIT + 1) / 8 + 1e-9) * 1.5)])).astype(np.int64)
+CLASSES = np.searchsorted([1, 2, 3, 4, 5, 6, 7, 8, 9, 13, 20, 32, 51, 81, 129], np.arange(WAYS * LIMIT + 1), "right")
 
 
 class Model:
@@ -52,9 +53,10 @@ class Model:
         self.lane = np.arange(lanes)
         self.base = np.stack([self.lane * SLOTS[0], lanes * SLOTS[0] + self.lane * SLOTS[1]])
         self.mask = np.array(SLOTS)[:, None] - 1
-        self.ids = np.full(lanes * sum(SLOTS) * WAYS, -1, np.int32)
-        self.counts = np.zeros(lanes * sum(SLOTS) * WAYS, np.uint8)
+        # An id and, in the low byte, its count; empty ones hold an id that no vocabulary has.
+        self.cells = np.full(lanes * sum(SLOTS) * WAYS, NONE << 8, np.uint32)
         self.ways = np.arange(WAYS)[None, :, None]
+        self.spread = np.stack([self.lane, WAYS * lanes + self.lane])
         # Of 1 << SHARE_BITS: the share of an order in contexts of each class, and of new ids in order 0.
         start = np.concatenate([[0], (np.arange(1, 16) << SHARE_BITS) // np.arange(3, 18)])
         self.share = np.tile(start, 2 * lanes)
@@ -78,8 +80,8 @@ class Model:
         hashed, parts = np.empty((2, self.n), np.int64), np.empty((2, self.n), np.int64)
         hashed[0], hashed[1] = (self.before * 40503 + l) >> 7, l >> 9
         self.slot = self.base + (hashed & self.mask)
-        cells = self.slot[:, None, :] * WAYS + self.ways
-        self.named, self.seen = self.ids[cells], self.counts[cells]
+        self.found = found = self.cells[self.slot[:, None, :] * WAYS + self.ways]
+        self.named, self.seen = found >> np.uint32(8), found & np.uint32(255)
         counts = self.seen.astype(np.int64)
         sums = counts.sum(1)
         self.spot = self.row + CLASSES[sums]
@@ -111,18 +113,17 @@ class Model:
         moved >>= RATE
         moved += self.own
         self.share[self.spot] = np.minimum(np.maximum(moved, LEAST), (1 << SHARE_BITS) - LEAST) * (self.own > 0)
-        equal = self.named == ids.astype(np.int32)
+        equal = self.named == ids.astype(np.uint32)
         known = equal.any(1)
         # The place of the id or, of four, that of the least count.
         first, second = self.seen[:, 1] < self.seen[:, 0], self.seen[:, 3] < self.seen[:, 2]
         rarest = np.where(np.minimum(self.seen[:, 2], self.seen[:, 3]) < np.minimum(self.seen[:, 0], self.seen[:, 1]), second + 2, first)
         place = np.where(known, equal[:, 1] + 2 * equal[:, 2] + 3 * equal[:, 3], rarest)
-        cell = self.slot * WAYS + place
-        now = self.counts[cell].astype(np.int64)
+        there = self.found.reshape(-1)[self.spread + place * self.n].astype(np.int64)
+        now = there & 255
         # An unknown id takes the place of a rare one; a more frequent one loses a count and stays.
         rare = now <= 2
-        self.counts[cell] = np.where(known, np.minimum(now + 2, LIMIT), np.where(rare, 2, now - 1))
-        self.ids[cell] = np.where(known | rare, ids, self.ids[cell])
+        self.cells[self.slot * WAYS + place] = np.where(known, there + np.minimum(2, LIMIT - now), np.where(rare, ids << 8 | 2, there - 1))
         self.before, self.last = self.last, ids
 
     def room(self, lanes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,16 +137,20 @@ class Model:
         share = share + (((~known).astype(np.int64) << SHARE_BITS) - share >> RATE)
         self.new[lanes] = np.minimum(np.maximum(share, LEAST), (1 << SHARE_BITS) - LEAST)
 
-    def interval(self, ids: np.ndarray, lanes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of ids that order 0 codes, in the lanes given."""
-        room, key = self.room(lanes, ends), (lanes << 32) + ids
-        place = np.minimum(np.searchsorted(self.had, key), len(self.had) - 1)
-        known = self.had[place] == key
+    def looked_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether order 0 has ids, of which the last axis is lanes, and where their counts begin and end in their lane."""
+        keys = (self.lane << 32) + ids
+        place = np.minimum(np.searchsorted(self.had, keys), len(self.had) - 1)
+        return self.had[place] == keys, self.at[place] - self.lane * self.total, self.at[place + 1] - self.lane * self.total
+
+    def interval(self, ids: np.ndarray, lanes: np.ndarray, ends: np.ndarray, known: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of ids that order 0 codes, in the lanes given, as they were looked up."""
+        room = self.room(lanes, ends)
         start, end = ends + room * ids // self.vocabulary, ends + room * (ids + 1) // self.vocabulary
         if self.total:
-            rest, before = (1 << BITS) - ends - room, lanes * self.total
-            start = np.where(known, ends + room + rest * (self.at[place] - before) // self.total, start)
-            end = np.where(known, ends + room + rest * (self.at[place + 1] - before) // self.total, end)
+            base = ends + room
+            rest = (1 << BITS) - base
+            start, end = np.where(known, base + rest * low // self.total, start), np.where(known, base + rest * high // self.total, end)
         self.took(lanes, known)
         return start, end
 
@@ -183,9 +188,13 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[
     out = np.zeros((lanes, steps + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
     columns = np.ascontiguousarray(ids.T)
+    turns = sorted({0, *renew, steps})
     for i in range(steps):
         if i in renew:
             model.renew(ids[:, :i])
+        if i == turns[0]:  # order 0 stays as it is up to the next turn
+            since, turns = i, turns[1:]
+            known, lows, highs = model.looked_up(columns[i : turns[0]])
         now = columns[i]
         ends = model.predict()
         fits = (model.named.reshape(2 * WAYS, lanes) == now) & (model.mass > 0)
@@ -195,7 +204,8 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[
         start = end - model.mass[way, model.lane]
         other = np.flatnonzero(~hit)
         if len(other):
-            start[other], end[other] = model.interval(now[other], other, ends[-1, other])
+            k = i - since
+            start[other], end[other] = model.interval(now[other], other, ends[-1, other], known[k, other], lows[k, other], highs[k, other])
         live = i < lengths
         unit = span >> np.uint64(BITS)
         low = np.where(live, low + unit * start.astype(np.uint64), low)
