@@ -291,7 +291,7 @@ def resources(e: DataFrame) -> list[DataFrame]:
         declared(e, "LLM.TrackerSpec", 2, TrackerId="i", Name="concat('tracker', i)"),
         declared(e, "LLM.TagSetSpec", 2, TagSetId="i", Name="concat('set', i)"),
         emitted(e, "LLM.TagValue", "event_type = 'error'", 7, TrackerId="k % 2", Cycle="cycle", Tags="tags", Values="values"),
-        emitted(e, "LLM.TagValue", "event_type = 'signup'", 7, TrackerId="k % 2", Cycle="cycle - cents", Tags="wide_tags", Values="values"),
+        emitted(e, "LLM.TagValue", "event_type = 'signup'", 7, TrackerId="k % 2", Cycle="greatest(cycle - cents, 0)", Tags="wide_tags", Values="values"),
         declared(e, "Diagnostics.ModuleInit", 1, ModuleBaseShift="16", SymbolFormat="'pdb'"),
         emitted(e, "Diagnostics.ModuleLoad", "event_type = 'click'", 8, Base="k", Size="k % 9 * 4096", Name="concat('m', k, '.dll')", ImageId="image"),
         emitted(e, "Diagnostics.ModuleUnload", "event_type = 'error'", 8, Base="k"),
@@ -560,7 +560,7 @@ family("llm_tags", "resources", "SELECT trace_id, CAST(i AS VARCHAR) AS tag, 'll
 family("llm_trackers", "resources", "SELECT trace_id, i AS tracker, 'tracker' || i AS name FROM tr, range(2) r(i)", "trace_id tracker name")
 family("llm_tag_sets", "resources", "SELECT trace_id, i AS tag_set, 'set' || i AS name FROM tr, range(2) r(i)", "trace_id tag_set name")
 family("llm_values", "resources", """, x AS (SELECT trace_id, k % 2 AS tracker, event_id, cycle, k % 7 AS tag, cents AS value, 0 AS i FROM c WHERE event_type = 'error' UNION ALL SELECT trace_id, k % 2, event_id, cycle, k % 7 + 10, -k, 1 FROM c WHERE event_type = 'error'
-    UNION ALL SELECT trace_id, k % 2, event_id, cycle - cents, k % 7 - 3, cents, 0 FROM c WHERE event_type = 'signup' AND cycle >= cents UNION ALL SELECT trace_id, k % 2, event_id, cycle - cents, k % 7 + 10, -k, 1 FROM c WHERE event_type = 'signup' AND cycle >= cents)
+    UNION ALL SELECT trace_id, k % 2, event_id, greatest(cycle - cents, 0), k % 7 - 3, cents, 0 FROM c WHERE event_type = 'signup' UNION ALL SELECT trace_id, k % 2, event_id, greatest(cycle - cents, 0), k % 7 + 10, -k, 1 FROM c WHERE event_type = 'signup')
     SELECT trace_id, tracker, tag, arg_max(value, (cycle, event_id, i)) AS latest_value, max(cycle) AS latest_cycle FROM x GROUP BY 1, 2, 3""", "trace_id tracker tag latest_value latest_cycle")
 family("modules", "resources", f""", x AS (SELECT trace_id, k, event_id AS seq, cycle, CASE event_type WHEN 'click' THEN 'b' ELSE 'e' END AS kind FROM c WHERE event_type = 'error' OR event_type = 'click' AND k % 9 > 0), {map_sql("x", "trace_id, k")}
     SELECT trace_id, k * 65536 AS base, any_value(k % 9 * 4096) AS size, any_value('m' || k || '.dll') AS name, arg_max(outcome IN ('open', 'overwritten'), seq) AS active, count(*) FILTER (outcome = 'overwritten') AS duplicates FROM x_p WHERE kind = 'b' GROUP BY trace_id, k""", "trace_id base size name active duplicates")
