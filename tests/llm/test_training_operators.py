@@ -661,3 +661,49 @@ def test_language_id_learns_more_than_64_and_rare_languages(spark):
     model = langid.fit(docs, fit_rows=100)
     assert model.names == names and model.table.shape == (2, langid.BITS)
     assert all(model.predict(" ".join(words[x]))[0] == x for x in names)
+
+
+def test_very_long_texts(spark):
+    """A text of two million characters beside short ones, through every operator on documents and pages."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgé") for _ in range(r.randint(1, 8))) for _ in range(5000)]
+    long = " ".join(r.choice(words) for _ in range(400_000))
+    rows = [(1, long, "en", "s", len(long)), (2, "short text here", "en", "s", 15), (3, long + " end", "en", "s", len(long) + 4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    item = " ".join(long.split()[200_000:200_030])
+    leaks = decontaminate.find_leaks(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert {x.doc_id for x in leaks} == {1, 3} and all(x.distance == 0 for x in leaks)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    n = len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids) + 1
+    pieces = packing.tokenized_pieces(docs, tokenizer=path).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("last")).collect()
+    assert {x.doc_id: (x.n, x.last) for x in pieces}[1] == (n, (n - 1) // 4096)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = [*Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids, 0]
+    assert {x.doc_id: (x.start, x.ids_crc32) for x in tokenfiles.round_trip(docs, tokenizer=path).collect()}[1] == (0, zlib.crc32(np.array(ids, "<u4").tobytes()))
+    model = langid.fit(docs)
+    assert [x.lang_pred for x in langid.identify(docs, model).collect()] == ["en"] * 3
+    assert {x.doc_id: x.component_id for x in jaccard.similarity_classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    near = {x.doc_id: x for x in fingerprint.edited_likeness(docs).collect()}
+    assert near[1].n_chars == len(long) and 0.7 < near[1].near_edited <= 1
+    page = f"<html><body><nav>menu</nav><article><h1>t</h1><p>{'</p><p>'.join(long[k : k + 1000] for k in range(0, len(long), 1000))}</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.example/x", page), (2, "http://a.example/" + "y" * 100_000, page)], "page_id long, url string, html string")
+    text = "\n\n".join(["t", *(" ".join(long[k : k + 1000].split()) for k in range(0, len(long), 1000))])
+    assert [x.text for x in html.extract(pages).collect()] == [text] * 2
+    kept = {x.page_id: x for x in warc.archive(pages)[1].collect()}
+    assert kept[1].record_type == "revisit" and kept[1].refers_to == 2 and kept[2].payload_bytes == len(page.encode())
+    assert {x.page_id: x.rule for x in urls.filter_urls(pages, [urls.Rule("example", "/yyy", "block")]).collect()} == {1: None, 2: "example/yyy"}
+
+
+def test_clashing_column_names(spark, docs):
+    """Columns that have the names of the operators' own or of their results."""
+    odd = docs.withColumns({c: F.lit("own") for c in ("k", "z", "h", "n", "gram", "region", "set_key", "row_hash", "token", "part", "piece", "sequence_id", "lang_pred", "score", "item_id", "next_text", "sketch", "wrapper", "host")})
+    items = spark.createDataFrame([(0, "w1 w2", "own")], "item_id long, text string, doc_id string")
+    assert decontaminate.drop_leaks(odd, items).columns == odd.columns and decontaminate.find_leaks(odd, items).count() == decontaminate.find_leaks(docs, items).count()
+    assert jaccard.keep_first(odd).columns == odd.columns and jaccard.keep_first(odd).count() == jaccard.keep_first(docs).count()
+    assert suffixes.remove_repeats(odd, span=40, gram=15).columns == odd.columns
+    found = langid.identify(odd, langid.LanguageFilters([], []))
+    assert sorted(found.columns) == sorted(odd.columns) and found.where("lang_pred = 'own'").count() == 0
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.place(packing.tokenized_pieces(odd, tokenizer=path)).count() == docs.count()
+    assert fingerprint.edited_likeness(odd).count() == docs.count()
+    assert tokenfiles.round_trip(odd, tokenizer=public_tokenizers.path("byte_bpe_50k.json")).count() == docs.count()
