@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import joins, timeline
 from .plans import dashboard, reports
 from .session import ship
-from .sources import capture, catalog
+from .sources import capture, catalog, cpu
 from .storage import written
 from .streaming.progressive import Session
 
@@ -71,6 +71,11 @@ class Capture:
     def dashboard(self) -> dict[str, DataFrame]:
         return dashboard.dashboard(self.events)
 
+    def scope_totals(self) -> DataFrame:
+        """CPU scopes by their names. Of the events only those without batches need a dispatch order, which are few."""
+        events = dashboard.dispatched(dashboard.timeline_only(self.raw).where("blob is null").drop("blob"))
+        return dashboard.spec_totals(events, cpu.batches_of(self.raw))
+
     @cached_property
     def intervals(self) -> DataFrame:
         """CPU scopes with their names."""

@@ -111,19 +111,20 @@ def in_ranges_of(rows: DataFrame, *order: Column, partitions: int | None = None)
     return ranged.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
 
 
-def numbered(rows: DataFrame, *order: Column, name: str = "seq", by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, *order: Column, name: str = "seq", by: Sequence[str] = (), partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Rows with their 0-based place in a total order, or in the order within ``by``, without one task that sees them all.
 
-    Places within a range are counted there; the ranges' sizes, one row each, are summed up.
+    Places within a range are counted there; what is summed up is the size of each range's part of each group, which
+    also gives the groups' sizes, as ``total`` if that names a column.
     """
     ranged = in_ranges_of(rows, *(F.col(c) for c in by), *order, partitions=partitions)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    first = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.join(F.broadcast(sizes.select("_part", first.alias("_first"))), "_part").withColumn(name, F.col("_first") + F.col("_place")).drop("_part", "_first", "_place")
-    if not by:
-        return placed
-    starts = placed.groupBy(*by).agg(F.min(name).alias("_start"))
-    return _same(placed, starts, by).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
+    parts = ranged.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_place").alias("_lo"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", *by, (before - F.col("_lo")).alias("_shift"), F.sum("_n").over(group).alias("_total"))
+    placed = _same(ranged, parts, ["_part", *by]).withColumn(name, F.col("_place") + F.col("_shift"))
+    placed = placed if total is None else placed.withColumn(total, F.col("_total"))
+    return placed.drop("_part", "_place", "_shift", "_total")
 
 
 def _same(rows: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -131,9 +131,7 @@ def downsample_minmax(rows: DataFrame, by: Sequence[str], seq: str, metrics: Seq
     numbered in ranges and buckets are plain groups, so a group of any size is spread over all tasks.
     """
     columns = rows.columns
-    placed = numbered(rows, F.col(seq), name="_i", by=by)
-    sizes = placed.groupBy(*by).agg(F.count("*").alias("_n"))
-    placed = placed.join(sizes, list(by)) if by else placed.crossJoin(sizes)
+    placed = numbered(rows, F.col(seq), name="_i", by=by, total="_n")
     ends = placed.where((F.col("_n") <= budget) | ((F.col("_i") == 0) & F.lit(budget >= 1)) | ((F.col("_i") == F.col("_n") - 1) & F.lit(budget >= 2)))
     buckets = max(0, budget - 2) // (2 * len(metrics))
     if not buckets:

@@ -708,16 +708,19 @@ def scope_totals(intervals: DataFrame, specs: DataFrame | None = None, by: Seque
     return named.withColumn("name", F.coalesce(F.col("name") if specs is not None else F.lit(None).cast("string"), F.concat(F.lit("#"), "spec_id"))).orderBy(*TRACE, *by, F.desc("total_cycles"), "spec_id")
 
 
-def thread_totals(e: DataFrame) -> DataFrame:
-    """Scopes and cycles of each thread and spec, summed up where they are decoded."""
+def thread_totals(e: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """Scopes and cycles of each thread and spec, summed up where they are decoded.
+
+    Batches are in their threads' order already, so they may come from events that were not dispatched.
+    """
     origin = prologue(e).select(*TRACE, F.col("start_cycle").alias("base"), "frequency")
-    totals = cpu.cpu_totals(cpu.batches_of(e).join(origin, TRACE, "left"))
+    totals = cpu.cpu_totals((cpu.batches_of(e) if batches is None else batches).join(F.broadcast(origin), TRACE, "left"))  # a row for each capture
     return totals.withColumn("total_cycles", F.least("total_cycles", F.lit(fn.MAX_LONG)).cast("long"))
 
 
-def spec_totals(e: DataFrame) -> DataFrame:
+def spec_totals(e: DataFrame, batches: DataFrame | None = None) -> DataFrame:
     """The same of all threads together, by the names of the specs."""
-    sums = thread_totals(e).groupBy(*TRACE, "spec_id").agg(F.sum("count").alias("count"), F.sum("total_cycles").alias("total_cycles"))
+    sums = thread_totals(e, batches).groupBy(*TRACE, "spec_id").agg(F.sum("count").alias("count"), F.sum("total_cycles").alias("total_cycles"))
     named = sums.join(cpu_specs(e).select(*TRACE, "spec_id", "name"), [*TRACE, "spec_id"], "left")
     return named.withColumn("name", F.coalesce("name", F.concat(F.lit("#"), "spec_id"))).orderBy(*TRACE, F.desc("total_cycles"), "spec_id")
 

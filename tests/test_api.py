@@ -83,6 +83,7 @@ def test_timeline_commands(spark, tmp_path):
     first = catalog.cached_timeline(spark, files, str(tmp_path / "cache"), build)
     assert catalog.cached_timeline(spark, files, str(tmp_path / "cache"), build, limit=1) == first and built == [first]
     assert catalog.read_timeline(spark, first).count() == 2
+    assert [(r.name, r["count"]) for r in found.scope_totals().collect()] == [("Tick", 2)]
 
 
 def test_exit_codes():
