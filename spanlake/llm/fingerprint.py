@@ -58,12 +58,13 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def place_in(bounds: list[int], key: Column) -> Column:
-    """How many of the rising ``bounds`` are at most ``key``, by halving steps; null keys count none."""
-    table, out, step = F.lit(np.array(bounds, np.int64)), F.lit(0), 1 << len(bounds).bit_length()
-    while step := step // 2:
-        reached = out + step
-        out = F.when((reached <= len(bounds)) & (F.get(table, reached - 1) <= key), reached).otherwise(out)
-    return out
+    """How many of the rising ``bounds`` are at most ``key``, by halving steps; null keys count none.
+
+    The steps are rows of a fold, so the expression is as small for many bounds as for few.
+    """
+    table, steps = F.lit(np.array(bounds, np.int64)), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    reached = lambda out, step: (out + step <= len(bounds)) & (F.get(table, out + step - 1) <= key)
+    return F.aggregate(F.lit(np.array(steps, np.int32)), F.lit(0), lambda out, step: F.when(reached(out, step), out + step).otherwise(out))
 
 
 def with_next(docs: DataFrame, columns: list[str], *, key: str = "doc_id") -> DataFrame:
@@ -75,7 +76,7 @@ def with_next(docs: DataFrame, columns: list[str], *, key: str = "doc_id") -> Da
     """
     n, least, nulls = docs.agg(F.count("*"), F.min(key), F.count_if(F.col(key).isNull())).first()
     ranges = min(MAX_RANGES, max(1, n // RANGE_ROWS))
-    cuts = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
+    cuts = docs.agg(F.percentile_approx(key, F.lit(np.arange(1, ranges) / ranges), 20 * ranges)).first()[0] if ranges > 1 else []
     starts = sorted({least, *(cuts or [])} - {None})  # at most MAX_RANGES
     is_null = F.col(key).isNull()
     docs = docs.withColumn("__range", place_in(starts, F.col(key)) if starts else F.lit(0))

@@ -501,6 +501,15 @@ def test_place_in_bounds(spark):
         assert {x.k: x.n for x in df.collect()} == {k: 0 if k is None else sum(b <= k for b in bounds) for k in keys}
 
 
+def test_ranges_of_many_rows_make_no_large_plan(spark):
+    """Bounds double their number; the expression that looks them up does not grow fourfold with it."""
+    sizes = [len(fingerprint.place_in(list(range(n)), F.col("id"))._jc.node().toString().replace(",", " ").split()) - n for n in (4, 16, 64)]
+    assert sizes[2] - sizes[0] < 100
+    bounds = list(range(0, 3000, 3))
+    got = spark.range(0, 3100, 7).select("id", fingerprint.place_in(bounds, F.col("id")).alias("n")).collect()
+    assert all(x.n == min(x.id // 3 + 1, len(bounds)) for x in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header><a href="/">Site</a></header>
 <nav><ul><li><a>Home</a><li>About</ul></nav><div class="cookie-notice">Cookies!</div><article><h1>{title}</h1><p>One&nbsp;<b>two</b><br>three &lt;x&gt;<p>{text}</p>
 <aside>Related</aside><div class="ad">Buy</div><section id="comments"><p>First!</p></section></article><form><p>Name</p></form><footer>&copy;</footer></body></html>"""
