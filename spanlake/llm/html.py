@@ -5,11 +5,14 @@ A wrapper is a union-free regular expression over a host's pages: nested element
 block elements, runs of equal siblings are folded into repeated groups, and a host's trees are aligned one after the
 other: elements that only one side has become optional, texts that differ become slots.
 
-For a host of any size, what its wrapper says of texts is counted: on how many of the host's pages a place (the
-signatures from the root down) occurs, and on how many a text at that place. A place on all pages is required, on fewer
-optional; a text on as good as all pages that have its place is fixed, else it is a slot's. Outside article elements a
-fixed text goes even if its place has a slot as well, as one paragraph of many; inside, only where the place has no slot.
-The counts are exact sums over pages, so they depend neither on the order of the pages nor on bounds, and no host is gathered.
+For a host of any size, pages of one shape are merged where they are read, then the shapes of a host in an order fixed by
+their digests, some at a time and in rounds, so no host is gathered; what few pages have is left out on the way. A page
+is then fitted to its host's wrapper, which gives each of its texts the wrapper's place for it, and what the wrapper says
+of texts is counted: on how many of the host's pages a place occurs, and on how many a text at that place. A place on
+all pages is required, on fewer optional; a text on as good as all pages that have its place is fixed, else it is a
+slot's. Outside article elements a fixed text goes even if its place has a slot as well, as one paragraph of many;
+inside, only where the place has no slot. The counts are exact sums over pages. Texts are counted by the signatures from
+the root down as well, which is the place of what the wrapper leaves out and tells no equal siblings apart.
 
 The wrapper then says what of a page is the article: its article or main element where it has one, else all of the
 body; without the parts that are named as menus, headers, footers, sidebars, notices, adverts, forms or comments; and
@@ -19,6 +22,7 @@ without the texts that the host's pages repeat, inside an article element too, u
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, stored
+from .common import release, sliced, stored
 from .urls import host_and_path
 
 #: Pages that must repeat a text before it counts as the host's: if their headings differ, and if not (they may be
@@ -70,8 +74,15 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 READ = frozenset("class id role hidden aria-hidden style itemprop".split())
 #: Attributes of more characters are read anew each time, so that the cache stays small.
 CACHED_CHARS = 1000
-#: Elements below this depth are not part of a wrapper to read; pages and places are read to any depth.
+#: Elements below this depth are not part of a wrapper; pages are read to any depth, and their signatures are the places there.
 WRAPPER_DEPTH = 100
+#: Where two child sequences would need a larger table than this, what is between their equal ends is not part of the
+#: wrapper either.
+ALIGNED_CELLS = 1 << 16
+#: Shapes aligned in one group, the parts that rows of one shape are dealt to before, characters of pages whose shapes a
+#: task holds, and the share of a group's pages (one in so many) up to which an element is left out. A text must be on
+#: more than half of the pages, so what is left out in some rounds cannot be such a text's.
+GROUP, SPREAD, HELD_CHARS, RARE = 64, 64, 16 << 20, 16
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -194,7 +205,7 @@ def fold(nodes: list[list]) -> list[list]:
 
 
 def wrapper_of(element: Element, depth: int = 0) -> list:
-    inner = element.children if depth < WRAPPER_DEPTH else []
+    inner = element.children if depth < WRAPPER_DEPTH and not element.dropped else []
     return [element.sign, 1, False, False, fold([["#", 1, False, False, digest(c)] if isinstance(c, str) else wrapper_of(c, depth + 1) for c in inner])]
 
 
@@ -204,26 +215,46 @@ def merged(a: list, b: list, pages: int) -> list:
     return [a[0], pages, a[2] or b[2], a[3] or b[3], rest]
 
 
+@lru_cache(maxsize=2000)
+def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[list[tuple[int, int]], bool]:
+    """Places of a longest common subsequence, and whether it is one: of too long sequences it is their equal ends alone."""
+    n, m, head, tail = len(a), len(b), 0, 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    out = [(i, i) for i in range(head)]
+    x, y = a[head : n - tail], b[head : m - tail]
+    whole = len(x) * len(y) <= ALIGNED_CELLS
+    if whole and x and y:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = 1 + best[i + 1][j + 1] if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i, j = 0, 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(n - k, m - k) for k in range(tail, 0, -1)], whole
+
+
 def aligned(a: list[list], b: list[list]) -> list[list]:
     """Align two child sequences; what only one side has becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [merged(x, y, x[1] + y[1]) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    pairs, whole = matched(tuple(x[0] for x in a), tuple(x[0] for x in b))
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merged(a[i], b[j], a[i][1] + b[j][1]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1], True, *a[i][3:]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1], True, *b[j][3:]])
-            j += 1
+    for at, to in [*pairs, (len(a), len(b))]:
+        if whole:
+            out += [[x[0], x[1], True, *x[3:]] for x in (*a[i:at], *b[j:to])]
+        if at < len(a):
+            out.append(merged(a[at], b[to], a[at][1] + b[to][1]))
+        i, j = at + 1, to + 1
     return fold(out)
 
 
@@ -240,24 +271,146 @@ def place_of(parent: int, sign: str) -> int:
 
 
 def text_key(place: int, text: str) -> int:
-    return place_of.__wrapped__(place, "=" + digest(text))
+    return text_key_of(place, digest(text))
+
+
+def text_key_of(place: int, digest: str) -> int:
+    return place_of.__wrapped__(place, "=" + digest)
+
+
+def shape(node: list) -> str:
+    """What alike pages have in common: signatures and repeats, whatever the texts."""
+    return f"{node[0]}{'+' * node[3]}{'?' * node[2]}({'' if node[0] == '#' else ''.join(map(shape, node[4]))})"
+
+
+def trimmed(node: list, pages: int) -> list:
+    """Without what one in RARE of the pages has at most."""
+    if node[0] == "#":
+        return node
+    return [*node[:4], fold([trimmed(c, pages) for c in node[4] if c[1] * RARE > pages])]
+
+
+def outlined(node: list) -> list | None:
+    """A wrapper as the signatures of children with their outlines; None where none at all has an equal sibling."""
+    inner = [None if c[0] == "#" else outlined(c) for c in node[4]]
+    signs = [c[0] for c in node[4]]
+    return [list(x) for x in zip(signs, inner, strict=True)] if any(inner) or len(set(signs)) < len(signs) else None
+
+
+class Outline:
+    """An outline to fit pages to: of its children signatures, the names of their places among siblings, and outlines."""
+
+    __slots__ = ("signs", "names", "inner")
+
+    def __init__(self, outline: list):
+        self.signs = tuple(s for s, _ in outline)
+        n = Counter(self.signs)
+        self.names = [s if n[s] == 1 else f"{s}@{k}" for k, s in enumerate(self.signs)]
+        self.inner = [Outline(x) if x else None for _, x in outline]
 
 
-def places(page: Element) -> Iterator[tuple[int, Element, str]]:
-    """Place, element and text of each text that no tag, role or style rules out."""
-    todo = [(page, 0)]
+def fitted(element: Element, outline: Outline | None) -> Iterator[tuple[Element | str, str, Outline | None]]:
+    """Each child with the name of its place, which is its signature where the wrapper says no more, and its outline."""
+    signs = ["#" if isinstance(c, str) else c.sign for c in element.children]
+    if outline is None:
+        yield from zip(element.children, signs, [None] * len(signs), strict=True)
+        return
+    runs = tuple(s for k, s in enumerate(signs) if not k or s != signs[k - 1])
+    found = dict(matched(runs, outline.signs)[0])
+    run = -1
+    for k, (child, sign) in enumerate(zip(element.children, signs, strict=True)):
+        run += not k or sign != signs[k - 1]
+        at = found.get(run)
+        yield (child, sign, None) if at is None else (child, outline.names[at], outline.inner[at])
+
+
+def places(page: Element, outline: Outline | None = None) -> Iterator[tuple[int, int, Element, str]]:
+    """Place by signatures, place in the wrapper, element and text of each text that no tag, role or style rules out."""
+    todo = [(page, 0, 0, outline)]
     while todo:
-        element, place = todo.pop()
-        for child in element.children:
+        element, place, fit, own = todo.pop()
+        for child, name, inner in fitted(element, own):
             if isinstance(child, str):
-                yield place, element, child
+                yield place, fit if name == "#" else place_of(fit, name), element, child
             elif not child.dropped:
-                todo.append((child, place_of(place, child.sign)))
+                todo.append((child, place_of(place, child.sign), place_of(fit, name), inner))
+
+
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """``host, outline`` of rows of ``host, html``: the wrapper of all pages of each host that says more than signatures do.
+
+    Pages without a text count for nothing.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+        for batch in sliced(batches):
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                page = parse(text)
+                if next(places(page), None):
+                    tree = wrapper_of(page)
+                    key = host, place_of.__wrapped__(2, shape(tree))
+                    size += len(text) * (key not in held)
+                    held[key] = merged(held[key], tree, held[key][1] + 1) if key in held else tree
+                if size > HELD_CHARS:
+                    yield rows([(*k, k[1], v) for k, v in held.items()])
+                    held, size = {}, 0
+        yield rows([(*k, k[1], v) for k, v in held.items()])
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"host": h, "grp": g, "kind": k, "wrapper": json.dumps(w)} for h, g, k, w in found], schema=arrow)
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kind, same, whole = None, None, None, None
+        for batch in sliced(batches, 100):
+            done = []
+            for host, grp, k, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = json.loads(wrapper)
+                if (host, grp, k) == (*(at or (None, None)), kind):
+                    same = merged(same, tree, same[1] + tree[1])
+                    continue
+                if at is not None:
+                    whole = same if whole is None else merged(whole, same, whole[1] + same[1])
+                if at is not None and at != (host, grp):
+                    done.append((*at, kind, trimmed(whole, whole[1])))
+                    whole = None
+                at, kind, same = (host, grp), k, tree
+            yield rows(done)
+        if at is not None:
+            whole = same if whole is None else merged(whole, same, whole[1] + same[1])
+            yield rows([(*at, kind, trimmed(whole, whole[1]))])
+
+    def joined(trees: DataFrame) -> DataFrame:
+        columns = ("host", "grp", "kind", "wrapper")
+        return trees.select(*columns).repartition("host", "grp").sortWithinPartitions("host", "grp", "kind").mapInArrow(align, schema)
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            own = [outlined(json.loads(w)) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(x) if x else None for x in own], pa.string())], names=["host", "outline"])
+
+    arrow = pa.schema({"host": pa.string(), "grp": pa.int64(), "kind": pa.int64(), "wrapper": pa.string()})
+    schema = "host string, grp long, kind long, wrapper string"
+    trees = pages.select("host", "html").mapInArrow(read, schema)
+    # Rows of one shape are merged first, in parts; a merge of one shape is the same in any order.
+    trees = stored(joined(trees.withColumn("grp", F.xxhash64("kind", F.spark_partition_id() % SPREAD))), "trees")
+    while True:
+        kinds = trees.groupBy("host").agg(F.count_distinct("kind").alias("kinds"))
+        most = kinds.agg(F.max("kinds")).first()[0] or 0
+        dealt = trees.join(kinds, "host").withColumn("grp", F.pmod(F.xxhash64("kind"), F.ceil(F.col("kinds") / GROUP)))
+        # The next round's shapes are this one's groups.
+        done = stored(joined(dealt).select("host", "grp", F.col("grp").alias("kind"), "wrapper"), "trees")
+        release(trees)
+        trees = done
+        if most <= GROUP:
+            return trees.select("host", "wrapper").mapInArrow(outline, "host string, outline string").where("outline is not null")
 
 
 def fixed_texts(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` of rows of ``host, html``: the keys of the texts that the host's wrapper holds fixed, each with
-    1 if its place has no slot and else 0.
+    """``host, wrapper`` of rows of ``host, html, __outline``: the keys of the texts that the host's wrapper holds fixed,
+    each with 1 if its place has no slot and else 0.
 
     Pages without a text count for nothing and equal pages once. A text is fixed if it is on FIXED_PERCENT of the pages
     that have its place, and on more than half of the host's pages, which bounds what is kept of a host by its pages' size.
@@ -266,19 +419,18 @@ def fixed_texts(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = list(places(parse(text.as_py() or "")))
+            for host, text, outline in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                found = list(places(parse(text.as_py() or ""), loaded(outline.as_py())))
                 if found:
-                    texts = [(place, text_key(place, t)) for place, _, t in found]
-                    page = place_of.__wrapped__(0, " ".join(str(k) for _, k in texts))
-                    heading = " ".join(t for _, e, t in found if e.tag in ("h1", "h2"))
-                    texts = sorted(set(texts))
+                    page = place_of.__wrapped__(0, " ".join(str(text_key(place, t)) for place, _, _, t in found))
+                    heading = " ".join(t for _, _, e, t in found if e.tag in ("h1", "h2"))
+                    texts = sorted({(at, text_key(at, t)) for place, fit, _, t in found for at in (place, fit)})
                     keys = [(*t, 1) for t in texts] + [(place, None, n) for place, n in Counter(place for place, _ in texts).items()]
                     rows.append({"host": host, "page": page, "heading": place_of.__wrapped__(1, heading) if heading else page, "keys": [{"place": a, "text": b, "texts": n} for a, b, n in keys]})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     arrow = pa.schema({"host": pa.string(), "page": pa.int64(), "heading": pa.int64(), "keys": pa.list_(pa.struct({"place": pa.int64(), "text": pa.int64(), "texts": pa.int64()}))})
-    seen = pages.select("host", "html").mapInArrow(read, "host string, page long, heading long, keys array<struct<place: long, text: long, texts: long>>")
+    seen = pages.select("host", "html", "__outline").mapInArrow(read, "host string, page long, heading long, keys array<struct<place: long, text: long, texts: long>>")
     seen = stored(seen.groupBy("host", "page").agg(F.first("heading").alias("heading"), F.first("keys").alias("keys")), "places")
     heads = seen.groupBy("host", "heading").agg(F.count("*").alias("n"))
     hosts = heads.groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("headings"))
@@ -293,22 +445,33 @@ def fixed_texts(pages: DataFrame) -> DataFrame:
     return fixed.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "text", "no_slot"))), ",").alias("wrapper"))
 
 
+@lru_cache(maxsize=256)
+def loaded(outline: str | None) -> Outline | None:
+    return Outline(json.loads(outline)) if outline else None
+
+
 def fixed_keys(wrapper: list) -> dict[int, bool]:
     """The keys of the texts that a wrapper holds fixed on all of its pages, all in places of their own."""
     out: dict[int, bool] = {}
 
-    def walk(node: list, place: int) -> None:
-        for child in node[4]:
+    def walk(node: list, place: int, outline: Outline | None) -> None:
+        names = outline.names if outline else [c[0] for c in node[4]]
+        for child, name, inner in zip(node[4], names, outline.inner if outline else [None] * len(names), strict=True):
             if child[0] != "#":
-                walk(child, place_of(place, child[0]))
+                walk(child, place_of(place, name), inner)
             elif child[4] and not child[2] and child[1] >= wrapper[1]:
-                out[place_of(place, "=" + child[4])] = True
+                out[text_key_of(place if name == "#" else place_of(place, name), child[4])] = True
 
     if wrapper[1] >= TEMPLATE_PAGES and has_slot(wrapper):
-        walk(wrapper, 0)
+        walk(wrapper, 0, outline_of(wrapper))
     return out
 
 
+def outline_of(wrapper: list) -> Outline | None:
+    own = outlined(wrapper)
+    return Outline(own) if own else None
+
+
 def has_slot(node: list) -> bool:
     return not node[4] if node[0] == "#" else any(map(has_slot, node[4]))
 
@@ -360,26 +523,30 @@ def left_out(page: Element) -> tuple[set[int], bool]:
     return {i for i in named if "article" not in holds[i][0]}, bool(articles)
 
 
-def main_blocks(page: Element, wrapper: list | dict[int, bool] | None) -> list[str]:
-    """The article's texts in page order, with the evidence of the host's wrapper or of the keys of its fixed texts.
+def main_blocks(page: Element, wrapper: list | tuple[Outline | None, dict[int, bool]] | None) -> list[str]:
+    """The article's texts in page order, with the evidence of the host's wrapper, or of its outline and the keys of its fixed texts.
 
     Of the latter, those with False hold outside article elements alone.
     """
-    fixed = fixed_keys(wrapper) if isinstance(wrapper, list) else wrapper or {}
+    outline, fixed = (outline_of(wrapper), fixed_keys(wrapper)) if isinstance(wrapper, list) else wrapper or (None, {})
     out: list[str] = []
     whole: list[str] = []
     out_by_name, only_article = left_out(page)
-    todo: list[tuple] = [(page, 0, not only_article)]
+    todo: list[tuple] = [(page, 0, 0, outline, not only_article)]
     while todo:
-        element, place, inside = todo.pop()
+        element, place, fit, own, inside = todo.pop()
         if isinstance(element, str):
             whole.append(element)
-            slotless = fixed.get(text_key(place, element)) if fixed else None
-            if slotless is None or only_article and not slotless:
+            slotless = [fixed[k] for k in (text_key(at, element) for at in {place, fit}) if k in fixed] if fixed else []
+            if not slotless or only_article and not any(slotless):
                 out.append(element)
         elif not element.dropped and id(element) not in out_by_name:
             inside = inside or element.article
-            todo.extend((c, place_of(place, c.sign) if fixed and not isinstance(c, str) else place, inside) for c in reversed(element.children) if inside or not isinstance(c, str))
+            below_it = [(c, place, fit, None, inside) for c in element.children] if not fixed else [
+                (c, place, fit if name == "#" else place_of(fit, name), None, inside) if isinstance(c, str) else (c, place_of(place, c.sign), place_of(fit, name), inner, inside)
+                for c, name, inner in fitted(element, own)
+            ]
+            todo.extend(x for x in reversed(below_it) if inside or not isinstance(x[0], str))
     return out or (whole if only_article else [])
 
 
@@ -393,14 +560,15 @@ def extract(pages: DataFrame, *, url: str = "url", text: str = "html", out: str
     """
     kept = [c for c in pages.columns if c not in (text, out, "n_chars", "host", "wrapper")]
     hosted = pages.select(*kept, F.col(text).alias("html"), F.coalesce(host_and_path(F.col(url))[0], F.lit("")).alias("host"))
-    wrappers = stored(fixed_texts(hosted), "wrappers")
+    outlines = stored(host_wrappers(hosted).withColumnRenamed("outline", "__outline"), "outlines")
+    wrappers = stored(fixed_texts(hosted.select("host", "html").join(outlines, "host", "left")).join(outlines, "host", "left"), "wrappers")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = lru_cache(maxsize=256)(lambda keys: {int(k[:-2]): k[-1] == "1" for k in keys.split(",")})
         for batch in batches:
-            htmls, rules = batch.column(batch.schema.get_field_index("html")), batch.column(batch.schema.get_field_index("wrapper"))
-            texts = ["\n\n".join(main_blocks(parse(h.as_py() or ""), load(w.as_py()) if w.is_valid else None)) for h, w in zip(htmls, rules, strict=True)]
+            htmls, rules, outline = (batch.column(batch.schema.get_field_index(c)) for c in ("html", "wrapper", "__outline"))
+            texts = ["\n\n".join(main_blocks(parse(h.as_py() or ""), (loaded(o.as_py()), load(w.as_py())) if w.is_valid else None)) for h, w, o in zip(htmls, rules, outline, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, out, "n_chars"])
 
     schema = T.StructType([*(f for f in pages.schema.fields if f.name in kept), T.StructField(out, T.StringType()), T.StructField("n_chars", T.LongType())])
-    return hosted.join(wrappers, "host", "left").select(*kept, "html", "wrapper").mapInArrow(scan, schema)
+    return hosted.join(wrappers, "host", "left").select(*kept, "html", "wrapper", "__outline").mapInArrow(scan, schema)

@@ -635,6 +635,36 @@ def test_repeated_texts_go_at_any_size_of_host(spark, n):
     assert (got[2 * n], got[2 * n + 2], got[2 * n + 3]) == ("", "T\n\nSame\n\nOld", "T\n\nSame\n\nNew")
 
 
+def test_texts_go_by_their_place_in_the_host_s_wrapper(spark):
+    """Places that signatures from the root down do not tell apart, on all pages and on most, in and outside articles."""
+    rows = [(i, "https://a.example/", f"<body><article><h1>T {i}</h1><p>Story {i}</p><h2>More</h2><p>Tell a friend</p></article></body>") for i in range(10)]
+    rows += [(100 + i, "https://b.example/", f"<body><div>Story {i}</div>{'<h2>Find us</h2><div>Call us now</div>' * (i % 10 < 7)}</body>") for i in range(20)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"T {i}\n\nStory {i}" for i in range(10)} | {100 + i: f"Story {i}" for i in range(20)}
+
+
+def test_wrappers_in_rounds_and_of_any_partitions(spark, monkeypatch):
+    """Hosts of many shapes, aligned some at a time, give one wrapper however the pages lie, and it has what most pages have."""
+    monkeypatch.setattr(html, "GROUP", 4)
+    part = lambda i, k: f"<section class='{chr(97 + i % 26)}{chr(97 + i // 26)}{k}'><p>Own {i} {k}</p></section>"
+    page = lambda i: "<body><article><h1>T {0}</h1>{1}<p>Story {0}</p><h2>More</h2>{2}<p>Tell a friend</p></article></body>".format(i, part(i, "x") * (i % 3), part(i, "y") * (i % 2))
+    pages = spark.createDataFrame([(i, "https://a.example/", page(i)) for i in range(90)], "page_id long, url string, html string")
+    wrappers = [html.host_wrappers(pages.select(F.lit("a").alias("host"), "html").repartition(n)).collect() for n in (1, 7)]
+    assert wrappers[0] == wrappers[1] and len(wrappers[0]) == 1
+    for x in html.extract(pages).collect():
+        i = x.page_id
+        assert x.text == "\n\n".join([f"T {i}", *[f"Own {i} x"] * (i % 3), f"Story {i}", *[f"Own {i} y"] * (i % 2)])
+
+
+def test_long_sequences_are_aligned_at_their_ends():
+    r = random.Random(5)
+    make = lambda: [r.choice("abcdef") for _ in range(20_000)]
+    started = time.process_time()
+    pairs, whole = html.matched(("x", "y", *make(), "z"), ("x", "y", *make(), "z"))
+    assert not whole and pairs[:2] == [(0, 0), (1, 1)] and pairs[-1] == (20_002, 20_002)
+    assert time.process_time() - started < 5
+
+
 def test_filters_against_counting_by_hand():
     """Bit-sliced filters give each n-gram's languages, and the corrected counts decide, as sets and sums say."""
     r = random.Random(3)
