@@ -72,8 +72,8 @@ TOKEN = re.compile(rf"<!--(?:.*?-->|.*)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?]
 CUT_OFF = re.compile(r"<[a-z/!?]", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 READ = frozenset("class id role hidden aria-hidden style itemprop".split())
-#: Attributes of more characters are read anew each time, so that the cache stays small.
-CACHED_CHARS = 1000
+#: Attributes of more characters and sequences of more signatures are read anew each time, so that the caches stay small.
+CACHED_CHARS, CACHED_SIGNS = 1000, 1000
 #: Elements below this depth are not part of a wrapper; pages are read to any depth, and their signatures are the places there.
 WRAPPER_DEPTH = 100
 #: Where two child sequences would need a larger table than this, what is between their equal ends is not part of the
@@ -215,9 +215,13 @@ def merged(a: list, b: list, pages: int) -> list:
     return [a[0], pages, a[2] or b[2], a[3] or b[3], rest]
 
 
-@lru_cache(maxsize=2000)
 def matched(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[list[tuple[int, int]], bool]:
     """Places of a longest common subsequence, and whether it is one: of too long sequences it is their equal ends alone."""
+    return (common if len(a) + len(b) <= CACHED_SIGNS else common.__wrapped__)(a, b)
+
+
+@lru_cache(maxsize=2000)
+def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[list[tuple[int, int]], bool]:
     n, m, head, tail = len(a), len(b), 0, 0
     while head < min(n, m) and a[head] == b[head]:
         head += 1
@@ -333,7 +337,8 @@ def places(page: Element, outline: Outline | None = None) -> Iterator[tuple[int,
             if isinstance(child, str):
                 yield place, fit if name == "#" else place_of(fit, name), element, child
             elif not child.dropped:
-                todo.append((child, place_of(place, child.sign), place_of(fit, name), inner))
+                below_it = place_of(place, child.sign)
+                todo.append((child, below_it, below_it if fit == place and name == child.sign else place_of(fit, name), inner))
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
@@ -366,8 +371,8 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
         at, kind, same, whole = None, None, None, None
         for batch in sliced(batches, 100):
             done = []
-            for host, grp, k, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree = json.loads(wrapper)
+            for host, grp, k, wrapper in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                tree = json.loads(wrapper.as_py())
                 if (host, grp, k) == (*(at or (None, None)), kind):
                     same = merged(same, tree, same[1] + tree[1])
                     continue

@@ -656,6 +656,14 @@ def test_wrappers_in_rounds_and_of_any_partitions(spark, monkeypatch):
         assert x.text == "\n\n".join([f"T {i}", *[f"Own {i} x"] * (i % 3), f"Story {i}", *[f"Own {i} y"] * (i % 2)])
 
 
+def test_wrappers_of_odd_pages(spark):
+    """No rows, pages without text, very deep ones and long alternating ones, in hosts with wrappers."""
+    pages = spark.createDataFrame([(i, "https://a.example/", h) for i, h in enumerate([None, "", "<p></p>", *("<div>" * 3000 + f"<p>{i}</p><h2>x</h2><p>Call us</p>" for i in range(3)), *(f"<p>{i}</p>" + "<h3>a</h3><p>b</p>" * n for i, n in enumerate((700, 900, 1100)))])], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html.extract(pages).collect()}
+    assert [got[i] for i in range(3)] == [""] * 3 and html.extract(pages.where("false")).count() == 0
+    assert all(got[3 + i].startswith(str(i)) and got[6 + i].startswith(str(i)) for i in range(3))
+
+
 def test_long_sequences_are_aligned_at_their_ends():
     r = random.Random(5)
     make = lambda: [r.choice("abcdef") for _ in range(20_000)]
