@@ -10,7 +10,7 @@ starts from nothing, so it needs no other block.
 
 A block is a header (magic, number of ids, bytes of code, CRC-32 of the ids) and the code. Many blocks are coded in
 lockstep, one array lane each, so the work per id is some array operations for all lanes; how many there are changes
-nothing in a block.
+nothing in a block. Columns of blocks are coded by ``blockcoder``, which gives the same bytes.
 """
 
 from __future__ import annotations

@@ -3,8 +3,8 @@
 Documents are dealt to parts by ranges of their ids, so the parts' order is the corpus's; there are as many parts as
 the text needs, up to MOST_PARTS, beyond which parts grow. A part is a run of groups: a group's rows are the lengths of
 the documents that begin in it (kind 0) and then its blocks (kind 1), each a self-contained unit of ``rangecoder``; the
-ids run through the blocks without regard to documents. Ids are coded and decoded group by group, so memory does not
-grow with a part.
+ids run through the blocks without regard to documents. Texts become ids and ids become documents again group by group,
+so memory does not grow with a part; blocks are coded and decoded by ``blockcoder``, in Spark's own processes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import rangecoder
+from . import blockcoder, rangecoder
 from .common import new_path
 from .tokens import whole_texts
 
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str
         waiting: list[np.ndarray] = []
 
         def blocks(ids: np.ndarray) -> pa.RecordBatch:
-            return as_batch([(part, grp, 1, i, None, None, c) for i, c in enumerate(rangecoder.encode_blocks(ids, vocabulary))])
+            return as_batch([(part, grp, 1, i, None, None, ids[at : at + rangecoder.BLOCK].tobytes()) for i, at in enumerate(range(0, len(ids), rangecoder.BLOCK))])
 
         for batch in batches:
             if not batch.num_rows:
@@ -72,7 +72,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str
         if held:
             yield blocks(np.concatenate(waiting))
 
-    dealt.mapInArrow(encode, SCHEMA).write.parquet(path)
+    plain = dealt.mapInArrow(encode, SCHEMA)
+    plain.withColumn("code", blockcoder.encoded(docs.sparkSession, F.col("code"), vocabulary)).write.parquet(path)
     return parts
 
 
@@ -93,13 +94,13 @@ def read_token_files(spark: SparkSession, path: str, parts: int, *, tokenizer: s
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None  # part and group
         index: deque[tuple[int | None, int]] = deque()
-        codes: list[bytes] = []
+        blocks: list[np.ndarray] = []
         ids, done = np.zeros(0, "<u4"), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            """Decode a group and give out the documents that are whole."""
-            nonlocal ids, done, codes
-            ids, codes = np.concatenate([ids, rangecoder.decode_blocks(codes, vocabulary)]), []
+            """Join a group's ids and give out the documents that are whole."""
+            nonlocal ids, done, blocks
+            ids, blocks = np.concatenate([ids, *blocks]), []
             out, used = [], 0
             while index and used + index[0][1] <= len(ids):
                 key, n = index.popleft()
@@ -122,7 +123,7 @@ def read_token_files(spark: SparkSession, path: str, parts: int, *, tokenizer: s
                         done = 0
                     at = p, g
                 if kind:
-                    codes.append(code.as_py())
+                    blocks.append(np.frombuffer(code.as_buffer(), "<u4"))
                 else:
                     index.append((key, n))
         if at is not None:
@@ -130,7 +131,9 @@ def read_token_files(spark: SparkSession, path: str, parts: int, *, tokenizer: s
         if index or len(ids):
             raise ValueError("the blocks do not hold the documents' ids")
 
-    rows = files.repartitionByRange(parts, "part").sortWithinPartitions("part", "grp", "kind", "seq").mapInArrow(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    dealt = files.repartitionByRange(parts, "part").sortWithinPartitions("part", "grp", "kind", "seq")
+    plain = dealt.withColumn("code", blockcoder.decoded(spark, F.col("code"), vocabulary))
+    rows = plain.mapInArrow(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     lengths = files.where("kind = 0").groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = lengths.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

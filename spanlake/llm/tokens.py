@@ -15,6 +15,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks that a worker keeps; beyond that, new ones are encoded again when they recur.
 MEMO_CHUNKS = 400_000
@@ -29,6 +30,18 @@ _PARTS = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"
 PARTS, PART = re.compile(_PARTS), re.compile(f"(?:{_PARTS})")
 # The byte vocabulary's published pattern, for the same characters.
 BYTE_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+# The alphabet of byte vocabularies, in which bytes that print stand for themselves.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)}.difference(_PRINTED)))}
+#: The characters of simple texts in that alphabet.
+SPELLED = {k: "".join(map(_ALPHABET.get, chr(k).encode())) for k in range(1, 256)}
+#: What no simple text holds.
+BREAK = "\0"
+#: The kinds of the bytes of simple texts: space 1, other white space 2, mark 3, letter or digit 4, apostrophe 8.
+KINDS = np.full(256, 4, np.uint8)
+KINDS[list(b" \t\n\r")] = 1, 2, 2, 2
+KINDS[[k for k in range(33, 127) if not chr(k).isalnum()]] = 3
+KINDS[ord("'")] = 8
 
 
 class WholeTexts:
@@ -40,7 +53,7 @@ class WholeTexts:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str | bytes, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)").search
 
     def cut(self, text: str) -> list[str]:
@@ -92,16 +105,82 @@ def looked_up(memo: dict[str, bytes], chunks: set[str], encode_new) -> dict[str,
 
 
 class ByteTexts(WholeTexts):
+    """For the vocabulary that keeps all bytes.
+
+    A space before anything but white space begins a chunk, and so does a mark other than an apostrophe after a letter
+    or a digit, and the other way about. The simple texts of a group are cut there all at once, and each distinct unit
+    between cuts is looked up, and its chunks encoded, once; other texts go chunk by chunk.
+    """
+
     def __init__(self, path: str):
         super().__init__(path)
         import public_tokenizers
         import regex
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.any_text = regex.compile(public_tokenizers.PATTERN).findall
+        # The same model for chunks that are spelled in its alphabet already; tokens have a character for each byte.
+        self.by_chunk = type(self.tokenizer).from_file(path)
+        self.by_chunk.pre_tokenizer = CharDelimiterSplit(BREAK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def cut(self, text: str) -> list[str]:
         return BYTE_PARTS.findall(text) if SIMPLE.fullmatch(text) else self.any_text(text)
 
+    def encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        simple = [bool(SIMPLE.fullmatch(text)) and not self.special(text) for text in texts]
+        code = [text.encode() for text, is_simple in zip(texts, simple, strict=True) if is_simple]
+        of_simple = iter(self.encode_simple(code) if code else ())
+        others = super().encode_group([text for text, is_simple in zip(texts, simple, strict=True) if not is_simple])
+        for is_simple in simple:
+            yield next(of_simple if is_simple else others)
+
+    def encode_simple(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        joined = b"".join(texts)
+        ends = np.cumsum([0, *map(len, texts)])
+        kinds = KINDS[np.frombuffer(joined, np.uint8)]
+        before, after = np.append(np.uint8(0), kinds[:-1]), np.append(kinds[1:], np.uint8(0))
+        after[ends[ends > 0] - 1] = 0
+        cut = (kinds == 1) & (after > 2) | (kinds + before == 7)
+        cut[ends[ends < len(joined)]] = True
+        offsets = np.append(np.flatnonzero(cut), len(joined))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        index, bounds, data = coded.indices.to_numpy(), *coded.dictionary.buffers()[1:]
+        bounds, data = np.frombuffer(bounds, np.int64)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+        units = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        found = list(map(self.memo.get, units))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        room = max(0, MEMO_CHUNKS - len(self.memo))
+        for k, ids in zip(new, self.encode_units([units[k] for k in new]), strict=True):
+            found[k] = ids
+        self.memo.update((units[k], found[k]) for k in new[:room])
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # The ids of each unit in turn, from where they lie.
+        own = sizes[index]
+        to = np.append(0, np.cumsum(own))
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[index] - to[:-1], own) + np.arange(to[-1])]
+        bounds = to[np.searchsorted(offsets, ends)].tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield out[a:b]
+
+    def encode_units(self, units: list[bytes]) -> Iterator[bytes]:
+        """Encode the chunks of many units as one text in the model's alphabet, and split the ids by bytes."""
+        for at in range(0, len(units), 1000):
+            cuts = [BYTE_PARTS.findall(u.decode()) for u in units[at : at + 1000]]
+            text = BREAK.join(chain.from_iterable(cuts)).translate(SPELLED)
+            ids = np.array(self.by_chunk.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            # Where chunks end, in bytes and in ids: each ends with a token.
+            breaks, ends = np.cumsum([0, *map(len, text.split(BREAK))]), np.append(0, np.cumsum(self.sizes[ids]))
+            last = np.searchsorted(ends, breaks)
+            if not np.array_equal(ends[np.minimum(last, len(ids))], breaks):
+                raise ValueError("the tokenizer's tokens do not have a character for each byte")
+            data, start = ids.tobytes(), 0
+            for end in (4 * last[np.cumsum(list(map(len, cuts)))]).tolist():
+                yield data[start:end]
+                start = end
+
 
 class WordTexts(WholeTexts):
     """For the vocabulary that drops white space and marks word ends."""

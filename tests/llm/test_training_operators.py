@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanlake.llm import decontaminate, fingerprint, html, jaccard, langid, packing, rangecoder, suffixes, tokenfiles, tokens, urls, warc
+from spanlake.llm import blockcoder, decontaminate, fingerprint, html, jaccard, langid, packing, rangecoder, suffixes, tokenfiles, tokens, urls, warc
 from spanlake.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -191,6 +191,47 @@ def test_order_one_learns_frequencies():
     assert bits < 3.5
 
 
+def test_blocks_of_columns_are_those_of_the_range_coder(spark):
+    """Byte for byte, whatever the ids and the vocabulary, and back; damaged ones fail."""
+    r = np.random.default_rng(7)
+    for vocabulary in (1, 2, 300, 50257, rangecoder.LARGEST):
+        parts = [np.minimum(r.zipf(a, n), vocabulary) - 1 for a in (1.05, 1.3, 3) for n in (1, 31, 32, 33, 500, 4096)]
+        parts += [np.zeros(4096, np.int64), np.arange(4096) % vocabulary, r.integers(0, vocabulary, 4096), np.tile(r.integers(0, vocabulary, 9), 400)]
+        rows = [(k, bytearray(ids.astype("<u4").tobytes())) for k, ids in enumerate(parts)] + [(len(parts), None), (len(parts) + 1, bytearray())]
+        plain = spark.createDataFrame(rows, "k int, ids binary")
+        coded = plain.select("k", "ids", blockcoder.encoded(spark, F.col("ids"), vocabulary).alias("code"))
+        got = {x.k: x for x in coded.withColumn("back", blockcoder.decoded(spark, F.col("code"), vocabulary)).collect()}
+        for k, ids in enumerate(parts):
+            assert [bytes(got[k].code)] == rangecoder.encode_blocks(ids, vocabulary), (vocabulary, k)
+        assert all(x.back == x.ids for x in got.values()) and got[len(parts)].code is None and got[len(parts) + 1].back == b""
+        beyond = spark.createDataFrame([(bytearray(np.array([vocabulary], "<u4").tobytes()),)], "ids binary")
+        with pytest.raises(Exception, match="lies beyond the vocabulary"):
+            beyond.select(blockcoder.encoded(spark, F.col("ids"), vocabulary)).collect()
+    good = rangecoder.encode_blocks(r.integers(0, 50257, 4096), 50257)[0]
+    flipped = good[:19] + bytes([good[19] ^ 0x40]) + good[20:]
+    endless = good[:4] + b"\xff\xff\xff\x7f" + good[8:]
+    for bad in (flipped, endless, good[:-4], good[:10], b"", b"none" + good[4:]):
+        with pytest.raises(Exception, match="not a block of token ids|do not have its checksum"):
+            spark.createDataFrame([(bytearray(bad),)], "code binary").select(blockcoder.decoded(spark, F.col("code"), 50257)).collect()
+
+
+@pytest.mark.parametrize(("chunks", "group"), [(400_000, 2_000_000), (100, 300)])
+def test_ids_of_texts_cut_all_at_once(monkeypatch, chunks, group):
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", chunks)
+    monkeypatch.setattr(tokens, "GROUP_CHARS", group)
+    r = random.Random(8)
+    pieces = [" ", " ", "  ", "\n", "\t", "\r", "'", "'s", "'ll", "''", "a", "the", "Zé", "ñ", "0", "12", ".", ",", "-", "_", "`", "\0", "日", "×", "\xa0", "<|endoftext|>"]
+    texts = ["".join(r.choices(pieces[:-5] if r.random() < 0.8 else pieces, k=r.randint(0, 12))) for _ in range(20_000)]
+    texts += ["a  ", "b", "", "", " ", "c", "a \n", "\n b", "", "é" * 5000]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    encoder = tokens.ByteTexts(path)
+    for text, encoding, ids in zip(texts, whole, encoder.encode(texts), strict=True):
+        assert ids.tolist() == encoding.ids, text
+    assert len(encoder.memo) <= chunks + 2 * len(pieces) ** 2
+    assert [x.tolist() for x in encoder.encode([None, "", None])] == [[], [], []]
+
+
 def test_token_files_in_many_groups(spark, docs, monkeypatch):
     monkeypatch.setattr(rangecoder, "BLOCK", 64)
     monkeypatch.setattr(rangecoder, "LANES", 3)
