@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanlake.llm import blockcoder, decontaminate, fingerprint, html, jaccard, langid, packing, rangecoder, suffixes, tokenfiles, tokens, urls, warc
+from spanlake.llm import blockcoder, decontaminate, fingerprint, html, jaccard, langid, packing, queries, rangecoder, suffixes, tokenfiles, tokens, urls, warc
 from spanlake.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -398,6 +398,25 @@ def test_suffix_dedup_of_very_long_texts(spark):
     assert [got[i].n_bytes - got[i].n_removed for i in range(3)] == [0, 1_500_001, 0] and [got[i].n_spans for i in range(3)] == [1, 2, 1]
 
 
+def test_suffix_dedup_query_shows_what_is_left(spark, tmp_path):
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n)).encode()
+    long, short, split = make(600)[:400].decode("utf-8", "ignore").ljust(400, "z"), make(600)[:380].decode("utf-8", "ignore"), "é" * 4 + make(600).decode()
+    half = "".join(r.choice("abcdefgh") for _ in range(399))  # with the last byte of the character before it, 400
+    assert len(short.encode()) < 400 <= len(long.encode())
+    texts = ["one<" + long + ">one", "two(" + long + ")two", "one<" + short + ">one", "two(" + short + ")two", None, "", split, "x" + split, "é" + half, "ũ" + half]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op7_suffix_array_dedup(spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = {x.doc_id: x for x in out.collect()}
+    assert [got[i].text for i in range(6)] == ["one<>one", "two()two", texts[2], texts[3], None, ""] and len(got) == len(texts)
+    assert [got[i].text for i in (6, 7, 8, 9)] == ["", "x", "\ufffd", "\ufffd"]
+    assert [got[i].kept_sha256 for i in (8, 9)] == [hashlib.sha256(x).hexdigest() for x in (b"\xc3", b"\xc5")]
+    for i, text in enumerate(texts[:8]):
+        kept = (got[i].text or "").encode()
+        assert (got[i].n_bytes, got[i].n_bytes - got[i].n_removed, got[i].kept_sha256) == (len((text or "").encode()), len(kept), hashlib.sha256(kept).hexdigest()), i
+
+
 def components_by_force(rows):
     sets = []
     for _, text, *_ in rows:
